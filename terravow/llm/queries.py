@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, quality, simhash_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_quality": quality.op3_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
