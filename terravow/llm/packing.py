@@ -34,13 +34,18 @@ END_ID = 0
 #: Distinct white-space-free strings whose ids a worker remembers before it starts afresh.
 MEMO = 600_000
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
+_TAIL = b".,#$%&*!?;:"
 
 
 class WordIds:
     """Token ids of whole texts, by words.
 
-    For tokenizers whose pre-tokenizer never joins text across white space, the ids of a text are those of its
-    white-space-separated strings one after another; each distinct string is encoded once by the library.
+    For tokenizers whose pre-tokenizer never joins text across white space, nor a letter or digit to a sign, the ids of a
+    text are those of its white-space-separated strings one after another, and those of a string ending in signs are
+    those of its stem and of its tail. Each distinct stem is encoded once by the library. Where the tokenizer lowers
+    case, A-Z are lowered first, unless the text holds what could be a special string or a combining mark that joins a
+    letter of one case only.
     """
 
     def __init__(self, path: str):
@@ -50,10 +55,23 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {b"": b""}
+        self.lowers = self.tokenizer.encode("ABC", add_special_tokens=False).ids == self.tokenizer.encode("abc", add_special_tokens=False).ids
 
         self.mark = np.array(self.tokenizer.encode("\0", add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: list[bytes], group: int = 1000) -> None:
+    def learn(self, words: list[bytes]) -> None:
+        stems = {}
+        for w in words:
+            stem = w.rstrip(_TAIL)
+            if len(stem) < len(w) and stem[-1:].isalnum():  # of bytes: an ASCII letter or digit
+                stems[w] = stem
+        memo = self.memo
+        parts = {p for w, stem in stems.items() for p in (stem, w[len(stem) :])} | {w for w in words if w not in stems}
+        self.encode([p for p in parts if p not in memo])
+        for w, stem in stems.items():
+            memo[w] = memo[stem] + memo[w[len(stem) :]]
+
+    def encode(self, words: list[bytes], group: int = 1000) -> None:
         """Encodes unseen strings a thousand to a call, told apart by a NUL between them where NUL is one token."""
         plain = [w for w in words if b"\0" not in w] if len(self.mark) == 1 else []
         encode = self.tokenizer.encode_batch_fast
@@ -72,7 +90,8 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            words = text.translate(_BLANKS).split(b" ")
+            lower = self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+            words = text.translate(_LOWER if lower else _BLANKS).split(b" ")
             memo = self.memo
             try:
                 yield b"".join([memo[w] for w in words])
