@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, langid, packing, quality, simhash_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, html_extract, langid, packing, quality, simhash_dedup, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality": quality.op3_quality,
     "op4_langid": langid.op4_langid,
     "op5_token_count": token_count.op5_token_count,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
 }
