@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, langid, packing, quality, simhash_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, html_extract, langid, packing, quality, simhash_dedup, suffix_dedup, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": langid.op4_langid,
     "op5_token_count": token_count.op5_token_count,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
