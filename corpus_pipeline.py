@@ -1,10 +1,68 @@
-"""Corpus preparation: quality filter, exact and near deduplication, decontamination, packing."""
+"""Corpus preparation: quality filter, exact and near deduplication, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
+docs. All but the last return the columns of ``docs``; a row stays or goes as a whole. Rows are told apart by doc_id:
+of rows that repeat an id within a stage, those with the same text are one document, of which the exact stage keeps one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from terravow.llm import decontaminate, exact_dedup, packing, quality, simhash_dedup
+from terravow.llm.shared import table, written
+
+
+def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``keep``."""
+    keep = keep.select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return _only(docs, quality.quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id; of rows that repeat id and text, one."""
+    kept = _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    return kept.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, that with the smallest doc_id."""
+    return _only(docs, simhash_dedup.simhash_components(docs).where("doc_id <=> component_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return _only(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") == 0))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, packed."""
+    import public_tokenizers
+
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Learned scores, fingerprint components and packing have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
