@@ -13,6 +13,7 @@ that size, each searched in turn, and the spans of all blocks are merged per doc
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -202,6 +203,31 @@ def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list[n
     return sizes, starts, stops, items
 
 
+def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> Iterator[Phrases]:
+    """The benchmark's phrases, about ``phrase_bytes`` of text at a time."""
+    texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text") + F.octet_length("name") + 16)).first()[0] or 0
+    blocks = max(1, -(-int(total) // phrase_bytes))
+    for block in range(blocks):
+        part = texts.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
+        yield Phrases.of([(r["name"], r["text"].encode()) for r in part.collect()], window)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that no phrase hits; the rows are filtered where they are read."""
+    at = docs.columns.index(text_col)
+    for phrases in phrase_blocks(benchmark, window):
+        held = docs.sparkSession.sparkContext.broadcast(phrases)
+
+        def kept(batches, held=held):
+            for batch in batches_of(batches, SHARD_BYTES):
+                starts = shard_hits(text_bytes(batch.column(at)), held.value)[1]
+                yield batch.filter(pa.array([len(s) == 0 for s in starts], pa.bool_()))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_words, spans (array of start and stop word, merged), items (array of item ids as strings).
 
@@ -209,15 +235,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     twice counts once. An empty benchmark hits nothing. Repeated ids are reported each, but where the benchmark is
     searched in blocks rows are told apart by id and text.
     """
-    texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text") + F.octet_length("name") + 16)).first()[0] or 0
-    blocks = max(1, -(-int(total) // phrase_bytes))
-    found = None
-    for block in range(blocks):
-        part = texts.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
-        rows = [(r["name"], r["text"].encode()) for r in part.collect()]  # about phrase_bytes
-        hits = _searched(docs, Phrases.of(rows, window), id_col, text_col)
-        found = hits if found is None else found.unionByName(hits)
+    found, blocks = None, 0
+    for phrases in phrase_blocks(benchmark, window, phrase_bytes):
+        hits = _searched(docs, phrases, id_col, text_col)
+        found, blocks = hits if found is None else found.unionByName(hits), blocks + 1
     if blocks == 1:
         return found.drop("_mark")
     merged = found.groupBy(id_col, "_mark", "n_words").agg(F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
