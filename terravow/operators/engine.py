@@ -192,7 +192,7 @@ def dissent(df: DataFrame) -> DataFrame:
         F.when(F.col("data_sufficiency") < 0.9, "data sufficiency is below ideal"),
         F.when(positive, "this is not a causal claim"),
     ]
-    repeated = lambda text, n: F.array_repeat(F.lit(text), n)
+    repeated = lambda text, n: F.array_repeat(F.lit(text), n.cast("int"))
     return df.withColumn("dissent", F.concat(F.array_compact(F.array(*entries)), repeated("an alternative explanation was weighed", F.col("n_alternatives")), repeated("a producer reports a data limitation", F.col("n_limitations"))))
 
 
