@@ -394,10 +394,10 @@ def weighted_mean_by_array(spark, d):
     return rows.select("claim_id", "version", (support / F.greatest(total, F.lit(1e-9))).alias("score"))
 
 
-@query("agg_18", sql("SELECT lulc_class, quantile_cont(delta, 0.5) AS median, quantile_cont(delta, 0.1) AS p10, quantile_cont(delta, 0.9) AS p90 FROM fx_candidates GROUP BY 1"))
+@query("agg_18", sql("SELECT lulc_class, floor(quantile_cont(delta, 0.5) * 1e9 + 0.5e0) AS median_e9, floor(quantile_cont(delta, 0.1) * 1e9 + 0.5e0) AS p10_e9, floor(quantile_cont(delta, 0.9) * 1e9 + 0.5e0) AS p90_e9 FROM fx_candidates GROUP BY 1"))
 def exact_percentiles(spark, d):
     at = lambda p: F.percentile("delta", F.lit(p))
-    return a.candidates(spark, d).groupBy("lulc_class").agg(at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"))
+    return a.candidates(spark, d).groupBy("lulc_class").agg(*(F.floor(at(p) * 1e9 + 0.5).cast("double").alias(n) for p, n in ((0.5, "median_e9"), (0.1, "p10_e9"), (0.9, "p90_e9"))))
 
 
 @query("agg_19", sql("SELECT lulc_class, count(*) FILTER (WHERE delta < 0.035e0) / CAST(count(*) AS DOUBLE) * 100 AS rank FROM fx_candidates GROUP BY 1"))
