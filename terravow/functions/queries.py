@@ -268,9 +268,9 @@ def slope_medians(spark, d):
     return x.join(y, "user_id").where("event_id < _id").groupBy("user_id").agg(F.percentile(slope, F.lit(0.5)).alias("slope"))
 
 
-@query("mth_11", sql("SELECT control_id, degrees(atan(slope_deg / 100)) AS as_degrees FROM fx_candidates"))
+@query("mth_11", sql("SELECT control_id, floor(degrees(atan(slope_deg / 100)) * 1e9 + 0.5e0) / 1e9 AS as_degrees FROM fx_candidates"))
 def percent_to_degrees(spark, d):
-    return a.candidates(spark, d).select("control_id", F.degrees(F.atan(F.col("slope_deg") / 100)).alias("as_degrees"))
+    return a.candidates(spark, d).select("control_id", s.stored(F.degrees(F.atan(F.col("slope_deg") / 100)), 9).alias("as_degrees"))
 
 
 @query("mth_12", sql("SELECT control_id, floor(sqrt(easting_m * easting_m + northing_m * northing_m) * 1e6 + 0.5e0) / 1e6 AS planar FROM fx_candidates"))
