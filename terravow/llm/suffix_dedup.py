@@ -82,10 +82,10 @@ def _doc_key(ident, text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8, salt=str(ident).encode()[-16:]).digest(), "little", signed=True)
 
 
-def _mark(key: int, anchor: np.ndarray) -> np.ndarray:
+def _mark(key: int | list[int], anchor: np.ndarray | list[int]) -> np.ndarray:
     """A number for (document, anchor), well mixed."""
     with np.errstate(over="ignore"):
-        x = (np.asarray(anchor, "u8") + np.uint64(1)) * _MIX ^ np.uint64(key & (1 << 64) - 1)
+        x = (np.asarray(anchor, "u8") + np.uint64(1)) * _MIX ^ np.asarray(key, "i8").view("u8")
         x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ x >> np.uint64(29)).view("i8")
 
@@ -182,21 +182,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         for number in range((at - high) // block, (at - low) // block + 1):
             yield number, max(low, at - number * block - block + 1), min(high, at - number * block)
 
-    def block_mark(key: int, at: int, number: int) -> int:
-        return int(_mark(key, np.array([at << 6 | number], "u8"))[0])
+    def shared(view: memoryview, at: int, low: int, number: int) -> int:
+        """Rank of what all windows of a block have in common."""
+        near = at - number * block - low
+        return _rank(view[near : near - block + 1 + length]) ^ number
+
+    def shared_ranks(batches):
+        for batch in batches_of(batches, 4_000_000):
+            out = []
+            for at, low, high, part in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                view = memoryview(part)
+                out += [shared(view, at, low, number) for number in range((at - high) // block, (at - low) // block + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["rank"])
+
+    may_share = context.broadcast(bitmap(_repeated(held.mapInArrow(shared_ranks, "rank long"), "rank"), "rank"))
 
     def blocks(batches):
-        """For every block, the rank of what its windows share and the rank pair of the stretch they cover."""
+        """For every block that may share its middle, the rank of that and the rank pair of the stretch it covers."""
         for batch in batches_of(batches, 4_000_000):
             out: list[list] = [[] for _ in range(7)]
-            for key, at, low, high, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                view = memoryview(part)
-                for number, a, b in blocks_of(at, low, high):
-                    near = at - number * block
-                    shared = _rank(view[near - low : near - block + 1 - low + length]) ^ number
-                    pair = _pair(view[a - low : b - low + length], number << 32 | (at - a) << 16 | b - a)
-                    for column, x in zip(out, (key, a, b, shared, *pair, block_mark(key, at, number)), strict=True):
-                        column.append(x)
+            keys, ats, lows, highs, parts = (c.to_pylist() for c in batch.columns)
+            for key, at, low, high, part in zip(keys, ats, lows, highs, parts, strict=True):
+                view, own = memoryview(part), list(blocks_of(at, low, high))
+                ranks = [shared(view, at, low, number) for number, _, _ in own]
+                for (number, a, b), rank, open_ in zip(own, ranks, in_bitmap(may_share.value, np.array(ranks)).tolist(), strict=True):
+                    if open_:
+                        pair = _pair(view[a - low : b - low + length], number << 32 | (at - a) << 16 | b - a)
+                        for column, x in zip(out, (key, a, b, rank, *pair, at << 6 | number), strict=True):
+                            column.append(x)
+            out[6] = _mark(out[0], out[6])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["_doc", "low", "high", "rank", "left", "right", "mark"])
 
     third = written(held.mapInArrow(blocks, "_doc long, low long, high long, rank long, left long, right long, mark long"), "blocks")
@@ -208,8 +222,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
             out: list[list] = [[] for _ in range(4)]
             for key, at, low, high, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 view = memoryview(part)
-                numbers = [x for x in blocks_of(at, low, high)]
-                open_ = in_bitmap(open_blocks.value, np.array([block_mark(key, at, x[0]) for x in numbers]))
+                numbers = list(blocks_of(at, low, high))
+                open_ = in_bitmap(open_blocks.value, _mark(key, [at << 6 | x[0] for x in numbers]))
                 for (_, a, b), go in zip(numbers, open_.tolist(), strict=True):
                     for p in range(a, b + 1) if go else ():
                         for column, x in zip(out, (key, p, *_pair(view[p - low : p - low + length], at - p)), strict=True):
@@ -219,7 +233,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     fourth = written(held.mapInArrow(windows, "_doc long, low long, left long, right long").withColumn("high", F.col("low")), "windows")
     spans = None
     for level in (second, third, fourth):
-        found = level.join(_repeated(level, "left", "right"), ["left", "right"], "left_semi").select("_doc", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
+        same = written(_repeated(level, "left", "right"), "repeated")  # written, so that the join may be split where a pair is frequent
+        found = level.join(same, ["left", "right"], "left_semi").select("_doc", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
         spans = found if spans is None else spans.unionByName(found)
     return spans
 
