@@ -32,7 +32,7 @@ from .shared import batches_of, shuffle_width, table, text_bytes, written
 CAPACITY = 2048
 END_ID = 0
 #: Distinct white-space-free strings whose ids a worker remembers before it starts afresh.
-MEMO = 600_000
+MEMO = 1_500_000
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
 _TAIL = b".,#$%&*!?;:"
