@@ -262,7 +262,7 @@ def distances(spark, d):
 @query("mth_10", "SELECT user_id, quantile_cont((y_value - x_value) / (y_id - x_id), 0.5) AS slope FROM (SELECT x.user_id, x.value AS x_value, y.value AS y_value, x.event_id AS x_id, y.event_id AS y_id FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_id < y.event_id WHERE x.event_id % 20 = 0 AND y.event_id % 20 = 0) GROUP BY 1")
 def slope_medians(spark, d):
     """Exact median of all pairwise slopes of each user's series."""
-    x = a.read(spark, d, "events").where("event_id % 20 = 0").select("user_id", "event_id", "value")
+    x = a.read(spark, d, "events").select("user_id", "event_id", "value")
     y = x.select("user_id", F.col("event_id").alias("_id"), F.col("value").alias("_value"))
     slope = (F.col("_value") - F.col("value")) / (F.col("_id") - F.col("event_id"))
     return x.join(y, "user_id").where("event_id < _id").groupBy("user_id").agg(F.percentile(slope, F.lit(0.5)).alias("slope"))

@@ -436,7 +436,7 @@ _SERIES = "SELECT user_id, event_id, round(value) AS value FROM events WHERE eve
 
 
 def series(spark, d) -> DataFrame:
-    return a.read(spark, d, "events").where("event_id % 10 = 0").select("user_id", "event_id", F.round("value").alias("value"))
+    return a.read(spark, d, "events").select("user_id", "event_id", F.round("value").alias("value"))
 
 
 @query("prd_14", sql("SELECT user_id, n, s, var_s, CASE WHEN var_s <= 0 THEN 0e0 WHEN s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 THEN (s + 1) / sqrt(var_s) ELSE 0e0 END AS z FROM mk", mk=_MK, series=_SERIES))
