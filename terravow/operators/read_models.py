@@ -44,7 +44,7 @@ def register(spark, d):
 @query("rm_04", sql(f"SELECT claim_id, CAST(list_position({list(v.DISPLAY_ORDER)!r}, family) AS INT) AS place, family, CASE WHEN NOT available THEN 'unavailable' WHEN agreement >= 0.15 THEN 'agrees' WHEN agreement <= -0.15 THEN 'disagrees' ELSE 'neutral' END AS direction FROM fx_evidence WHERE claim_id < 200"))
 def evidence_tree(spark, d):
     place = F.array_position(F.array(*map(F.lit, v.DISPLAY_ORDER)), F.col("family")).cast("int")
-    return a.evidence(spark, d).where("claim_id < 200").select("claim_id", place.alias("place"), "family", direction().alias("direction")).orderBy("claim_id", "place")
+    return a.evidence(spark, d).select("claim_id", place.alias("place"), "family", direction().alias("direction")).orderBy("claim_id", "place")
 
 
 @query("rm_05", sql("SELECT claim_id, index_name, season, year, value FROM fx_observations WHERE claim_id = 17"))
@@ -61,8 +61,7 @@ def map_page(spark, d):
 
 @query("rm_07", sql("SELECT claim_id, verdict_id, version, level FROM fx_newest WHERE claim_id % 100 = 1"))
 def latest_verdict(spark, d):
-    rows = a.verdicts(spark, d).where("claim_id % 100 = 1")
-    return a.newest(rows).select("claim_id", "verdict_id", "version", "level")
+    return a.newest(a.verdicts(spark, d)).select("claim_id", "verdict_id", "version", "level")
 
 
 @query("rm_08", sql("SELECT action, count(*) AS n, count(DISTINCT user_id) AS n_users, max(\"at\") AS latest FROM fx_audit GROUP BY 1"))

@@ -2,8 +2,10 @@
 
 import collections
 import math
+import pathlib
 
 import __spark_entry__ as entry
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -144,3 +146,30 @@ def test_every_site_is_compared(run_larger, controls):
         assert row["site_percentile"] == pytest.approx(sum(y < site_delta[k] for y in x) / len(x) * 100)
         size = math.copysign(min(1, abs(moved) / 0.08), moved) * (1 if not low <= site_delta[k] <= high else 0.5)
         assert family[k] == (True, pytest.approx(0.0 if abs(moved) < 0.02 else size, abs=5.1e-5))
+
+
+@pytest.fixture(scope="module")
+def other(larger):
+    connection = duckdb.connect()
+    for path in pathlib.Path(larger).glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def same_rows(spark, larger, other, name, statement):
+    found = entry.queries()[name](spark, larger)
+    other.register("found", found.toArrow())
+    columns = ", ".join(found.columns)
+    other.execute(f"CREATE OR REPLACE TABLE expected AS SELECT {columns} FROM ({statement})")
+    for one, two in (("expected", "found"), ("found", "expected")):
+        assert other.execute(f"SELECT {columns} FROM {one} EXCEPT ALL SELECT {columns} FROM {two} LIMIT 3").fetchall() == []
+
+
+def lifted(name, cut):
+    """The registered SQL of a query over all rows instead of those of ``cut``."""
+    return entry.oracle_sql()[name].replace(f" WHERE {cut}", "")
+
+
+@pytest.mark.parametrize(("name", "cut"), [("rm_04", "claim_id < 200"), ("rm_07", "claim_id % 100 = 1")])
+def test_read_models_show_every_claim(spark, larger, other, name, cut):
+    same_rows(spark, larger, other, name, lifted(name, cut))
