@@ -173,3 +173,7 @@ def lifted(name, cut):
 @pytest.mark.parametrize(("name", "cut"), [("rm_04", "claim_id < 200"), ("rm_07", "claim_id % 100 = 1")])
 def test_read_models_show_every_claim(spark, larger, other, name, cut):
     same_rows(spark, larger, other, name, lifted(name, cut))
+
+
+def test_every_claim_is_streamed(spark, larger, other):
+    same_rows(spark, larger, other, "stm_01", lifted("stm_01", "claim_id % 5 = 0"))
