@@ -29,15 +29,14 @@ def json_lines(df: DataFrame, tag: str) -> DataFrame:
 @query("src_03")
 def json_artefact(spark, d) -> DataFrame:
     """Seasonal series documents, one object a line, exploded into observations."""
-    obs = a.observations(spark, d).where("claim_id < 50")
-    docs = obs.groupBy("claim_id").agg(F.collect_list(F.struct("index_name", "season", "year", "value")).alias("series"))
+    docs = a.observations(spark, d).groupBy("claim_id").agg(F.collect_list(F.struct("index_name", "season", "year", "value")).alias("series"))
     return json_lines(docs, "series").select("claim_id", F.inline("series"))
 
 
 @query("src_04", sql("SELECT id, action FROM fx_audit WHERE id % 10 = 0"))
 def json_log(spark, d) -> DataFrame:
     """A probe log read by its schema; lines that do not fit would have nulls."""
-    return json_lines(a.audit(spark, d).where("id % 10 = 0").select("id", "action"), "log")
+    return json_lines(a.audit(spark, d).select("id", "action"), "log")
 
 
 @query("src_05", "SELECT * FROM (VALUES ('01', 'L4', 1.0e0), ('04', 'L3', 0.85e0), ('23', 'L3', 0.7976e0)) AS t(case_id, expected, anchor)")

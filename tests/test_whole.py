@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from terravow.plans.oracle import sql
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +178,8 @@ def test_read_models_show_every_claim(spark, larger, other, name, cut):
 
 def test_every_claim_is_streamed(spark, larger, other):
     same_rows(spark, larger, other, "stm_01", lifted("stm_01", "claim_id % 5 = 0"))
+
+
+def test_every_series_and_log_line_is_read_again(spark, larger, other):
+    same_rows(spark, larger, other, "src_03", sql("SELECT claim_id, index_name, season, year, value FROM fx_observations"))
+    same_rows(spark, larger, other, "src_04", lifted("src_04", "id % 10 = 0"))
