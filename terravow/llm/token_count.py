@@ -25,7 +25,8 @@ from .shared import batches_of, table, text_bytes
 
 LIMIT = 4096
 CHUNK = 192
-#: Transitions a worker keeps; beyond, the compiled part is dropped and built anew.
+#: Transitions a worker keeps from batch to batch; beyond, the compiled part is dropped and built anew. Within a batch
+#: the table grows as needed.
 TRANSITIONS = 1 << 20
 _SPACE = "▁"
 
@@ -60,17 +61,34 @@ class Transducer:
             codes = self.class_of[[ord(c) for c in p]]
             self.adjacent[codes[:-1], codes[1:]] = True
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.bits = (2 * TRANSITIONS - 1).bit_length()
         self.forget()
 
     def forget(self) -> None:
         """Drops the compiled states; state 0 is that before a text."""
         self.states: list[tuple] = [(-1, ())]
         self.state_of = {self.states[0]: 0}
+        self.bits, self.used = (2 * TRANSITIONS - 1).bit_length(), 0
+        self.allocate()
+
+    def allocate(self) -> None:
         self.keys = np.full(1 << self.bits, -1, "i8")
         self.next = np.zeros(1 << self.bits, "i4")
         self.change = np.zeros(1 << self.bits, "i1")
-        self.used = 0
+
+    def grow(self) -> None:
+        """Doubles the table of transitions; their places change."""
+        held = np.flatnonzero(self.keys >= 0)
+        key, after, change = self.keys[held], self.next[held], self.change[held]
+        self.bits += 1
+        self.allocate()
+        at, left = self.slots(key), np.arange(len(key))
+        while len(left):
+            empty = left[self.keys[at[left]] < 0]
+            place, which = np.unique(at[empty], return_index=True)
+            now = empty[which]
+            self.keys[place], self.next[place], self.change[place] = key[now], after[now], change[now]
+            left = left[self.keys[at[left]] != key[left]]
+            at[left] = at[left] + 1 & len(self.keys) - 1
 
     def merged(self, text: str) -> list[str]:
         """The plain merge procedure, for two tokens side by side."""
@@ -121,6 +139,8 @@ class Transducer:
         if number is None:
             number = self.state_of[after] = len(self.states)
             self.states.append(after)
+        if 2 * self.used >= len(self.keys):
+            self.grow()
         key = state << 16 | code
         at = self.slot(key)
         while self.keys[at] >= 0:
@@ -134,10 +154,13 @@ class Transducer:
     def slot(self, key: int) -> int:
         return (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
 
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view("i8")
+
     def follow(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Transitions of many states at once; those not compiled yet are."""
         key = state << 16 | code
-        at = (key.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view("i8")
+        at, bits = self.slots(key), self.bits
         found = self.keys.take(at)
         odd = np.flatnonzero(found != key)
         while len(odd):
@@ -145,7 +168,9 @@ class Transducer:
             if empty.any():
                 for missing in np.unique(key[odd[empty]]).tolist():
                     self.add(missing >> 16, missing & 0xFFFF)
-                at[odd] = (key[odd].view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view("i8")
+                if self.bits != bits:  # the table has grown, and every place changed
+                    return self.follow(state, code)
+                at[odd] = self.slots(key[odd])
             else:
                 at[odd] = at[odd] + 1 & len(self.keys) - 1
             found[odd] = self.keys[at[odd]]

@@ -195,6 +195,31 @@ def test_transducer_survives_forgetting():
     assert (transducer.counts(text) == before).all()
 
 
+def test_transducer_outgrows_its_table(monkeypatch):
+    import signal
+
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(token_count, "TRANSITIONS", 64)
+    transducer, model = token_count.Transducer(token_count.compiled(path).score), SentencePieceProcessor(model_file=path)
+    random.seed(5)
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=k)) for k in (3000, 40000)]
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    try:
+        found = [transducer.counts([t.encode()])[0] for t in texts]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert found == [len(model.encode(t)) for t in texts]
+
+
 def test_packing(spark, docs, texts, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
