@@ -12,7 +12,6 @@ that size, each searched in turn, and the spans of all blocks are merged per doc
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_of, table, text_bytes
+from .shared import batches_of, table, text_bytes, written
 
 WINDOW = 10
 SAMPLING = 8
@@ -203,20 +202,20 @@ def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list[n
     return sizes, starts, stops, items
 
 
-def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> Iterator[Phrases]:
-    """The benchmark's phrases, about ``phrase_bytes`` of text at a time."""
+def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> Iterator[tuple[int, Phrases]]:
+    """The benchmark's phrases, about ``phrase_bytes`` of text at a time, each time with the number of blocks."""
     texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text") + F.octet_length("name") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // phrase_bytes))
     for block in range(blocks):
         part = texts.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
-        yield Phrases.of([(r["name"], r["text"].encode()) for r in part.collect()], window)
+        yield blocks, Phrases.of([(r["name"], r["text"].encode()) for r in part.collect()], window)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that no phrase hits; the rows are filtered where they are read."""
     at = docs.columns.index(text_col)
-    for phrases in phrase_blocks(benchmark, window):
+    for _, phrases in phrase_blocks(benchmark, window):
         held = docs.sparkSession.sparkContext.broadcast(phrases)
 
         def kept(batches, held=held):
@@ -232,16 +231,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """One row per row of ``docs``: id, n_words, spans (array of start and stop word, merged), items (array of item ids as strings).
 
     A null or empty text has no words and no spans; a benchmark item without words has no window, and an item id given
-    twice counts once. An empty benchmark hits nothing. Repeated ids are reported each, but where the benchmark is
-    searched in blocks rows are told apart by id and text.
+    twice counts once. An empty benchmark hits nothing. Repeated ids and repeated rows are reported each; where the
+    benchmark is searched in blocks, rows are numbered and written once, and told apart by their number.
     """
-    found, blocks = None, 0
-    for phrases in phrase_blocks(benchmark, window, phrase_bytes):
-        hits = _searched(docs, phrases, id_col, text_col)
-        found, blocks = hits if found is None else found.unionByName(hits), blocks + 1
+    found, rows = None, docs.select(docs[id_col], docs[text_col].cast("string").alias("_text"))
+    for blocks, phrases in phrase_blocks(benchmark, window, phrase_bytes):
+        if found is None:
+            rows = rows.withColumn("_row", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long"))
+            rows = written(rows, "numbered") if blocks > 1 else rows
+        hits = _searched(rows, phrases, id_col)
+        found = hits if found is None else found.unionByName(hits)
     if blocks == 1:
-        return found.drop("_mark")
-    merged = found.groupBy(id_col, "_mark", "n_words").agg(F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return found.drop("_row")
+    merged = found.groupBy(id_col, "_row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.aggregate(
         F.array_sort("_s"),
         F.array().cast("array<struct<start:bigint,stop:bigint>>"),
@@ -253,8 +255,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _searched(docs: DataFrame, phrases: Phrases, id_col: str, text_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(phrases)
+def _searched(rows: DataFrame, phrases: Phrases, id_col: str) -> DataFrame:
+    """``rows``: id, text, number."""
+    held = rows.sparkSession.sparkContext.broadcast(phrases)
 
     def searched(batches):
         for batch in batches_of(batches, SHARD_BYTES):
@@ -262,13 +265,11 @@ def _searched(docs: DataFrame, phrases: Phrases, id_col: str, text_col: str) ->
             sizes, starts, stops, items = shard_hits(texts, held.value)
             offsets = pa.array(np.cumsum([0, *map(len, starts)]), pa.int32())
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops))], fields=list(_SPAN))
-            marks = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
             names = [[held.value.names[k] for k in i.tolist()] for i in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(names, pa.list_(pa.string()))], names=[id_col, "_mark", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(names, pa.list_(pa.string()))], names=[id_col, "_row", "n_words", "spans", "items"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col], docs[text_col].cast("string"))
-    return rows.mapInArrow(searched, f"`{id_col}` {kind}, _mark long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(searched, f"`{id_col}` {kind}, _row long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

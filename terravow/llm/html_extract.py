@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -41,6 +41,8 @@ AWAY = frozenset(
 )
 HERE = frozenset("article articlebody body content entry main post story text prose maincontent".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An open paragraph outside of these is not closed from within.
+WALLS = BLOCKS - HEADINGS - {"p"}
 
 
 @dataclass
@@ -80,6 +82,7 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in page order."""
     found: list[Block] = []
     stack: list[_Open] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name on the stack
     parts: list[str] = []
     linked = links = made = 0  # characters in links; open links
 
@@ -92,6 +95,14 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            places[e.name].pop()
+        del stack[k:]
+
     at = 0
     while True:
         match = _TAG.search(page, at)
@@ -114,10 +125,8 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             elif name in ("td", "th"):
                 parts.append(" ")
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -133,19 +142,11 @@ def blocks_of(page: str) -> list[Block]:
         attributes = match[3] or ""
         if name in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCKS and stack[k].name not in HEADINGS:
-                    break
+            if places.get("p") and places["p"][-1] > last(WALLS):
+                close(places["p"][-1])
         if name in CLOSES:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k].name in CLOSES[name]:
-                    del stack[k:]
-                    break
-                if stack[k].name in CONTAINERS:
-                    break
+            if (k := last(CLOSES[name])) > last(CONTAINERS):
+                close(k)
         if name in ("td", "th"):
             parts.append(" ")
         if attributes.rstrip().endswith("/") and name not in BLOCKS:
@@ -153,6 +154,7 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             links += 1
         made += 1
+        places[name].append(len(stack))
         within = bool(stack and stack[-1].within)
         stack.append(_Open(name, made, _lean(name, attributes, within), within or name in ("article", "main")))
     flush()

@@ -160,6 +160,16 @@ def test_decontamination(spark, docs, texts, nothing, limit):
     assert not [r for r in decontaminate.contamination(docs, benchmark.limit(0)).collect() if r["spans"]]
 
 
+@pytest.mark.parametrize("limit", [decontaminate.PHRASE_BYTES, 120])
+def test_decontamination_reports_repeated_rows(spark, texts, limit):
+    benchmark = spark.createDataFrame([("7", texts[12]), ("11", texts[14]), ("12", texts[16])], "item_id string, text string")
+    docs = spark.createDataFrame(rows_of([texts[12]] * 3) + rows_of([texts[12], texts[12], texts[14], None]), EXTRA)
+    docs = docs.unionByName(docs)
+    found = collections.Counter((r["doc_id"], r["n_words"], tuple(map(tuple, r["spans"])), tuple(sorted(r["items"]))) for r in decontaminate.contamination(docs, benchmark, phrase_bytes=limit).collect())
+    n, m = len(words(texts[12])), len(words(texts[14]))
+    assert found == {(0, n, ((0, n),), ("7",)): 4, (1, n, ((0, n),), ("7",)): 4, (2, n, ((0, n),), ("7",)): 2, (2, m, ((0, m),), ("11",)): 2, (3, 0, (), ()): 2}
+
+
 def test_fm_index_finds_and_locates():
     random_ = np.random.default_rng(1)
     sequence = np.concatenate([np.append(random_.integers(1, 4, 30), 0) for _ in range(6)]).astype("i8")
@@ -326,3 +336,11 @@ def test_minimum_cut_is_minimal(seed):
     cost = lambda x: sum(max(0, -u) if k else max(0, u) for u, k in zip(unary, x, strict=True)) + sum(c for i, j, c in edges if x[i] != x[j])
     best = min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(1 << n))
     assert abs(cost(html_extract.minimum_cut(unary, edges)) - best) < 1e-9
+
+
+@pytest.mark.parametrize("depth", [3, 198, 199, 5000])
+def test_html_closes_across_any_depth(depth):
+    article = "<article><p>The first paragraph of the article is long enough to be kept.</p><p>So is the second one, which follows.</p></article>"
+    blocks = html_extract.blocks_of("<nav>" + "<b>" * depth + "Menu</nav>" + article)
+    assert [b.text[:9] for b in blocks] == ["Menu", "The first", "So is the"]
+    assert [len(b.chain) for b in blocks] == [1, 2, 2]
