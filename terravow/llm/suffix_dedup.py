@@ -1,13 +1,13 @@
-"""Removal of repeated byte strings by distributed, sparse prefix doubling.
+"""Removal of repeated byte strings by anchor thinning and hash grouping, instead of the dealt prefix doubling.
 
-Every byte covered by a string of ``length`` bytes that also starts elsewhere is removed. Prefix doubling ranks all
-positions by growing prefixes and drops those whose rank is unique. Ranking every byte of a corpus would shuffle some
-twenty bytes a byte and round, so positions are thinned first, without loss: a window (a string of ``length`` bytes)
+Every byte covered by a string of ``length`` bytes that also starts elsewhere is removed. Prefix doubling would sort
+all positions by pairs of the last round's ranks and rerank them, over lengths that double; none of that is done here.
+By estimate, not measured, it would shuffle some twenty bytes a byte and round. Positions are thinned first, without
+loss: a window (a string of ``length`` bytes)
 is represented by its anchor, the place in it whose eight bytes hash lowest among those with ``PREFIX`` bytes of the
 window still behind them. Equal windows have their anchor at the same offset; the windows of one anchor are neighbours.
 
-Spark then sorts rank pairs and reranks, the compared strings growing from round to round until a position is unique or
-past the threshold:
+Spark then groups by rank at four fixed levels, and what is unique leaves:
 
 1. anchors by the ``PREFIX`` bytes behind them; those with a unique rank leave;
 2. the rest by the whole stretch that their windows cover (its two halves' ranks as a pair). An equal stretch means
