@@ -9,6 +9,7 @@ from ..plans.registry import query
 from ..sources import adapter as a
 from . import scalars as s
 from . import vocabulary as v
+from .trends import median_slopes
 
 #: Words that the vocabulary lock refuses; common words stand in for them in the driver's texts.
 LOCKED = ("proof", "proves", "fraud", "fake", "guaranteed", "trash", "scum")
@@ -259,13 +260,10 @@ def distances(spark, d):
     return a.candidates(spark, d).select("control_id", covariate_distance(c("slope_deg") - 3.0, c("elevation_m") - 470.0, c("dist_to_stream_m") - 120.0).alias("distance"))
 
 
-@query("mth_10", "SELECT user_id, quantile_cont((y_value - x_value) / (y_id - x_id), 0.5) AS slope FROM (SELECT x.user_id, x.value AS x_value, y.value AS y_value, x.event_id AS x_id, y.event_id AS y_id FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_id < y.event_id WHERE x.event_id % 20 = 0 AND y.event_id % 20 = 0) GROUP BY 1")
+@query("mth_10", "SELECT user_id, quantile_cont((y_value - x_value) / (y_id - x_id), 0.5) AS slope FROM (SELECT x.user_id, x.value AS x_value, y.value AS y_value, x.event_id AS x_id, y.event_id AS y_id FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_id < y.event_id) GROUP BY 1")
 def slope_medians(spark, d):
     """Exact median of all pairwise slopes of each user's series."""
-    x = a.read(spark, d, "events").select("user_id", "event_id", "value")
-    y = x.select("user_id", F.col("event_id").alias("_id"), F.col("value").alias("_value"))
-    slope = (F.col("_value") - F.col("value")) / (F.col("_id") - F.col("event_id"))
-    return x.join(y, "user_id").where("event_id < _id").groupBy("user_id").agg(F.percentile(slope, F.lit(0.5)).alias("slope"))
+    return median_slopes(a.read(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
 
 
 @query("mth_11", sql("SELECT control_id, floor(degrees(atan(slope_deg / 100)) * 1e9 + 0.5e0) / 1e9 AS as_degrees FROM fx_candidates"))

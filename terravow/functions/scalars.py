@@ -58,12 +58,19 @@ def bsi(blue: Column, red: Column, nir: Column, swir1: Column) -> Column:
 
 
 def median_bits(vector: Column | str) -> Column:
-    """A 64-bit number whose bit i is set where element i exceeds the median of the vector."""
+    """A 64-bit number whose bit i is set where element i exceeds the median of the vector.
+
+    The sorted vector is bound once, as the only element of an array, and not sorted again for every bit.
+    """
     vector = _c(vector)
-    ordered = F.array_sort(vector)
-    median = (F.element_at(ordered, 32).cast("double") + F.element_at(ordered, 33).cast("double")) / 2
-    bits = F.transform(vector, lambda x, i: F.when(x.cast("double") > median, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda total, b: total.bitwiseOR(b))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+    def number(ordered: Column) -> Column:
+        median = (F.get(ordered, F.lit(31)).cast("double") + F.get(ordered, F.lit(32)).cast("double")) / 2
+        bits = F.transform(vector, lambda x, i: F.when(x.cast("double") > median, bit(i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda total, b: total.bitwiseOR(b))
+
+    return F.get(F.transform(F.array(F.array_sort(vector)), number), F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -21,6 +21,7 @@ RANKED_BY_CONFIDENCE = ("N3_contradicted", "N2_unsupported")
 EPSILON, AGREEING, DISAGREEING = 0.05, 0.35, -0.35
 L4_COVERAGE, MIN_SUFFICIENCY, N2_SCORE, PARTIAL, CORROBORATED = 0.70, 0.35, -0.15, 0.15, 0.35
 CATEGORICAL = -1.0
+L3_FAMILIES, L2_FAMILIES, N3_DISAGREEING = 3, 2, 2
 BADGE = 0.15
 
 # Thresholds of the evidence producers.
@@ -31,6 +32,43 @@ MAX_CONTROLS, MIN_CONTROLS, PER_CELL, CELL_M = 12, 5, 3, 500.0
 ANOMALY, STRONG_ANOMALY = 0.25, 0.50
 
 
+@dataclass(frozen=True)
+class Config:
+    """Every threshold of the engine; verdicts can be made under another set and tell which by its digest."""
+
+    weights: tuple[tuple[str, float], ...] = tuple(WEIGHTS.items())
+    epsilon: float = EPSILON
+    agreeing: float = AGREEING
+    disagreeing: float = DISAGREEING
+    l4_coverage: float = L4_COVERAGE
+    l3_families: int = L3_FAMILIES
+    l2_families: int = L2_FAMILIES
+    n3_disagreeing: int = N3_DISAGREEING
+    min_sufficiency: float = MIN_SUFFICIENCY
+    categorical: float = CATEGORICAL
+    n2_score: float = N2_SCORE
+    partial: float = PARTIAL
+    corroborated: float = CORROBORATED
+
+    def __post_init__(self) -> None:
+        if {name for name, _ in self.weights} != set(FAMILIES) or any(w < 0 for _, w in self.weights):
+            raise ValueError("every family has one weight, not below zero")
+        if not (-1 <= self.disagreeing < 0 < self.agreeing <= 1 and 0 <= self.epsilon <= self.agreeing):
+            raise ValueError("thresholds of agreement lie on both sides of zero")
+
+    @property
+    def weight(self) -> dict[str, float]:
+        return dict(self.weights)
+
+    @property
+    def weight_sum(self) -> float:
+        return WEIGHT_SUM if self.weight == WEIGHTS else sum(w for _, w in self.weights)
+
+    def text(self) -> str:
+        """All settings in the order of their names, for a digest."""
+        return ";".join(f"{k}={x!r}" for k, x in sorted({**vars(self), "weights": sorted(self.weights)}.items()))
+
+
 @dataclass(frozen=True)
 class Work:
     """What is expected of one type of work."""

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 
+Config = v.Config
+DEFAULT = v.Config()
+
 
 def _agreement(f: str) -> Column:
     return F.col(f"{f}_agreement")
@@ -29,19 +32,19 @@ def _count(conditions) -> Column:
     return reduce(add, [F.when(c, 1).otherwise(0) for c in conditions])
 
 
-def aggregate(df: DataFrame) -> DataFrame:
+def aggregate(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """support, weight_total, score, coverage, quality, confidence."""
-    support = reduce(add, [F.when(_available(f) & (F.abs(_agreement(f)) >= v.EPSILON), F.lit(v.WEIGHTS[f]) * _agreement(f)).otherwise(0.0) for f in v.FAMILIES])
-    total = reduce(add, [F.when(_available(f), F.lit(v.WEIGHTS[f])).otherwise(0.0) for f in v.FAMILIES])
+    support = reduce(add, [F.when(_available(f) & (F.abs(_agreement(f)) >= config.epsilon), F.lit(config.weight[f]) * _agreement(f)).otherwise(0.0) for f in v.FAMILIES])
+    total = reduce(add, [F.when(_available(f), F.lit(config.weight[f])).otherwise(0.0) for f in v.FAMILIES])
     df = df.withColumns({"support": support, "weight_total": total})
-    df = df.withColumns({"score": F.col("support") / F.greatest("weight_total", F.lit(1e-9)), "coverage": F.col("weight_total") / F.lit(v.WEIGHT_SUM), "quality": F.col("metadata_integrity") * F.col("data_sufficiency")})
+    df = df.withColumns({"score": F.col("support") / F.greatest("weight_total", F.lit(1e-9)), "coverage": F.col("weight_total") / F.lit(config.weight_sum), "quality": F.col("metadata_integrity") * F.col("data_sufficiency")})
     return df.withColumn("confidence", F.abs("score") * F.col("coverage") * F.col("quality"))
 
 
-def tally(df: DataFrame) -> DataFrame:
+def tally(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Counts of families that are available, agree, disagree; the first to agree; cluster evidence."""
-    agrees = {f: _available(f) & (_agreement(f) >= v.AGREEING) for f in v.FAMILIES}
-    differs = {f: _available(f) & (_agreement(f) <= v.DISAGREEING) for f in v.FAMILIES}
+    agrees = {f: _available(f) & (_agreement(f) >= config.agreeing) for f in v.FAMILIES}
+    differs = {f: _available(f) & (_agreement(f) <= config.disagreeing) for f in v.FAMILIES}
     cluster = {f: _available(f) & F.col(f"{f}_cluster") for f in v.FAMILIES}
     listed = lambda which: F.array_join(F.array_compact(F.array(*(F.when(which[f], f) for f in v.FAMILIES))), ",")
     return df.withColumns(
@@ -59,23 +62,23 @@ def tally(df: DataFrame) -> DataFrame:
     )
 
 
-def satellite_block() -> Column:
+def satellite_block(config: Config = DEFAULT) -> Column:
     """Why absence in the imagery does not contradict the claim; null if it does."""
     return (
         F.when(~F.col("detectability_passed"), "gate_failed")
         .when(~F.col("optical"), "type_not_optically_assessable")
-        .when(F.col("data_sufficiency") < v.MIN_SUFFICIENCY, "insufficient_data")
-        .when(F.col("n_independent_disagreeing") < 2, "too_few_independent_disagreeing")
+        .when(F.col("data_sufficiency") < config.min_sufficiency, "insufficient_data")
+        .when(F.col("n_independent_disagreeing") < config.n3_disagreeing, "too_few_independent_disagreeing")
         .when(F.col("n_excluded") == 0, "no_alternative_excluded")
     )
 
 
-def terrain_block() -> Column:
+def terrain_block(config: Config = DEFAULT) -> Column:
     """Why the terrain does not contradict the claim; null if it does. Asked only where the gate failed."""
     return (
         F.when(F.col("detectability_passed"), "gate_passed_use_satellite_path")
         .when(~F.col("terrain_available"), "no_terrain_evidence")
-        .when(F.col("terrain_agreement") > v.CATEGORICAL, "terrain_not_categorically_implausible")
+        .when(F.col("terrain_agreement") > config.categorical, "terrain_not_categorically_implausible")
         .when(~F.col("escalated"), "not_escalated_to_cluster")
         .when(F.col("n_cluster") == 0, "no_cluster_scale_evidence")
         .when(F.col("cluster_agrees"), "cluster_evidence_corroborates")
@@ -83,42 +86,42 @@ def terrain_block() -> Column:
     )
 
 
-def label_for(level: Column, score: Column) -> Column:
+def label_for(level: Column, score: Column, config: Config = DEFAULT) -> Column:
     return (
         F.when(level == "N3_contradicted", "CONTRADICTED")
         .when(level == "N2_unsupported", "UNSUPPORTED")
         .when(level.isin("N1_inconclusive", "L0_recorded"), "INCONCLUSIVE")
-        .when(score >= v.CORROBORATED, "CORROBORATED")
-        .when(score >= v.PARTIAL, "PARTIAL")
+        .when(score >= config.corroborated, "CORROBORATED")
+        .when(score >= config.partial, "PARTIAL")
         .when(level.isNotNull(), "INCONCLUSIVE")
     )
 
 
-def levels(df: DataFrame) -> DataFrame:
+def levels(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Branch of the cascade, level after ceiling and terrain cap, and the rules that led there."""
-    df = df.withColumns({"sat_block": satellite_block(), "ter_block": terrain_block()})
-    control = F.col("control_available") & (F.col("control_agreement") >= v.AGREEING)
-    three = (F.col("n_agreeing") >= 3) & F.col("temporal_available")
-    low = F.col("data_sufficiency") < v.MIN_SUFFICIENCY
+    df = df.withColumns({"sat_block": satellite_block(config), "ter_block": terrain_block(config)})
+    control = F.col("control_available") & (F.col("control_agreement") >= config.agreeing)
+    three = (F.col("n_agreeing") >= config.l3_families) & F.col("temporal_available")
+    low = F.col("data_sufficiency") < config.min_sufficiency
     branch = (
         F.when(F.col("sat_block").isNull(), "n3_satellite")
         .when(F.col("ter_block").isNull(), "n3_terrain")
-        .when((F.col("score") <= v.N2_SCORE) & low, "n1_unsupported_unseen")
-        .when(F.col("score") <= v.N2_SCORE, "n2")
+        .when((F.col("score") <= config.n2_score) & low, "n1_unsupported_unseen")
+        .when(F.col("score") <= config.n2_score, "n2")
         .when(F.col("n_available") == 0, "l0")
-        .when((F.col("score") < v.PARTIAL) & (F.col("n_disagreeing") > 0) & (F.col("n_agreeing") > 0), "n1_conflict")
-        .when(F.col("score") < v.PARTIAL, "n1_floor")
+        .when((F.col("score") < config.partial) & (F.col("n_disagreeing") > 0) & (F.col("n_agreeing") > 0), "n1_conflict")
+        .when(F.col("score") < config.partial, "n1_floor")
         .when(low, "n1_unseen")
-        .when(three & control & (F.col("coverage") >= v.L4_COVERAGE), "l4")
+        .when(three & control & (F.col("coverage") >= config.l4_coverage), "l4")
         .when(three, "l3")
-        .when((F.col("n_agreeing") >= 2) & (F.col("n_independent_agreeing") >= 1), "l2")
+        .when((F.col("n_agreeing") >= config.l2_families) & (F.col("n_independent_agreeing") >= 1), "l2")
         .when(F.col("n_agreeing") == 1, "l1")
         .otherwise("n1_default")
     )
     df = df.withColumn("branch", branch)
     reached = F.when(F.col("branch") == "l4", 4).when(F.col("branch") == "l3", 3).when(F.col("branch") == "l2", 2).when(F.col("branch") == "l1", 1)
     clamped = F.when(reached.isNotNull(), F.least(reached, F.col("ceiling")))
-    capped = (reached >= 3) & (clamped > 2) & F.col("terrain_available") & (F.col("terrain_agreement") <= v.CATEGORICAL)
+    capped = (reached >= 3) & (clamped > 2) & F.col("terrain_available") & (F.col("terrain_agreement") <= config.categorical)
     final = F.when(capped, 2).otherwise(clamped)
     df = df.withColumns({"_reached": reached, "_clamped": clamped, "_capped": F.coalesce(capped, F.lit(False)), "_final": final})
     names = F.array(*map(F.lit, v.POSITIVE))
@@ -146,15 +149,15 @@ def levels(df: DataFrame) -> DataFrame:
             F.when(F.col("_capped"), F.concat(F.lit("n3_terrain_blocked_by="), "ter_block")),
         )
     )
-    df = df.withColumns({"rule_path": path, "label": label_for(F.col("level"), F.col("score")), "clamped": F.coalesce(F.col("_clamped") < F.col("_reached"), F.lit(False)), "capped": F.col("_capped")})
+    df = df.withColumns({"rule_path": path, "label": label_for(F.col("level"), F.col("score"), config), "clamped": F.coalesce(F.col("_clamped") < F.col("_reached"), F.lit(False)), "capped": F.col("_capped")})
     return df.drop("_reached", "_clamped", "_capped", "_final")
 
 
-def recommend(df: DataFrame) -> DataFrame:
+def recommend(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     level = F.col("level")
     waiting = level.isin("N1_inconclusive", "L0_recorded")
-    broken, unseen = F.col("metadata_integrity") < 0.5, F.col("data_sufficiency") < v.MIN_SUFFICIENCY
-    driven = F.col("terrain_available") & (F.col("terrain_agreement") <= v.DISAGREEING)
+    broken, unseen = F.col("metadata_integrity") < 0.5, F.col("data_sufficiency") < config.min_sufficiency
+    driven = F.col("terrain_available") & (F.col("terrain_agreement") <= config.disagreeing)
     action = (
         F.when(level.isin("N3_contradicted", "N2_unsupported"), "physical_verification")
         .when(waiting & broken, "recapture_geotag")
@@ -174,10 +177,10 @@ def recommend(df: DataFrame) -> DataFrame:
     return df.withColumn("action", action).withColumn("priority", priority)
 
 
-def dissent(df: DataFrame) -> DataFrame:
+def dissent(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """What speaks against the verdict or limits it, one entry a finding; never empty."""
     positive = F.col("level").isin("L1_observed", "L2_corroborated", "L3_multi_indicator", "L4_control_differenced")
-    contrary = [F.when(_available(f) & F.when(positive, _agreement(f) <= v.DISAGREEING).otherwise(_agreement(f) >= v.AGREEING), F.format_string(f"{f} points the other way (%+.2f)", _agreement(f))) for f in v.FAMILIES]
+    contrary = [F.when(_available(f) & F.when(positive, _agreement(f) <= config.disagreeing).otherwise(_agreement(f) >= config.agreeing), F.format_string(f"{f} points the other way (%+.2f)", _agreement(f))) for f in v.FAMILIES]
     failed, n3 = ~F.col("detectability_passed"), F.col("level") == "N3_contradicted"
     entries = [
         *contrary,
@@ -196,12 +199,14 @@ def dissent(df: DataFrame) -> DataFrame:
     return df.withColumn("dissent", F.concat(F.array_compact(F.array(*entries)), repeated("an alternative explanation was weighed", F.col("n_alternatives")), repeated("a producer reports a data limitation", F.col("n_limitations"))))
 
 
-def reconcile(df: DataFrame) -> DataFrame:
-    """Verdicts beside their inputs. A type outside the vocabulary is an error, not a dropped row."""
+def reconcile(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Verdicts beside their inputs, under the thresholds of ``config``. A type outside the vocabulary is an error, not a dropped row."""
     kinds = v.works(df.sparkSession).select(F.col("type").alias("_type"), "ceiling", "optical", "noted", "footprint_min", "footprint_max")
     df = df.join(F.broadcast(kinds), F.col("type") == F.col("_type"), "left").drop("_type")  # 18 rows
     df = df.withColumn("ceiling", F.when(F.col("ceiling").isNull(), F.raise_error(F.concat(F.lit("no expectations for type "), F.coalesce("type", F.lit("null")))).cast("int")).otherwise(F.col("ceiling")))
-    return dissent(recommend(levels(tally(aggregate(df)))))
+    for step in (aggregate, tally, levels, recommend, dissent):
+        df = step(df, config)
+    return df
 
 
 def invariants(df: DataFrame) -> DataFrame:

@@ -120,3 +120,13 @@ def shippable(spark, d) -> DataFrame:
 def lineage(spark, d) -> DataFrame:
     """What a verdict was made from, as JSON; enough to make it again, and nothing that changes with time."""
     return a.verdicts(spark, d).select("claim_id", "version", F.to_json(F.struct("type", "detectability_passed", "escalated", "scene_scale", "metadata_integrity", "data_sufficiency", F.struct("support", "weight_total", "score", "coverage", "quality", "confidence").alias("aggregate"), F.struct(*(F.struct(F.col(f"{f}_agreement").alias("agreement"), F.col(f"{f}_available").alias("available"), F.col(f"{f}_cluster").alias("cluster_scale")).alias(f) for f in engine.v.FAMILIES)).alias("families"))).alias("lineage"))
+
+
+STRICTER = engine.Config(epsilon=0.2, l4_coverage=0.5, n2_score=-0.25)
+_stricter = lambda text: text.replace(">= 0.05e0", ">= 0.2e0").replace("coverage >= 0.7e0", "coverage >= 0.5e0").replace("score <= -0.15e0", "score <= -0.25e0")
+
+
+@query("eng_16", _stricter(sql("SELECT level, action, count(*) AS n FROM fx_verdicts GROUP BY ALL")))
+def other_thresholds(spark, d) -> DataFrame:
+    """Verdicts under another configuration: what the engine uses is a parameter."""
+    return engine.reconcile(a.verdict_inputs(spark, d), STRICTER).groupBy("level", "action").agg(F.count(F.lit(1)).alias("n"))

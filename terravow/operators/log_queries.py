@@ -12,7 +12,7 @@ from ..functions.queries import BUNDLE_SQL, bundle_text, redacted
 from ..plans.oracle import sql
 from ..plans.registry import query
 from ..sources import adapter as a
-from .relational import audit_listing, count, similar_images
+from .relational import SIMILAR_SQL, close_hashes, audit_listing, count, similar_images
 
 GENESIS = "0" * 64
 
@@ -30,15 +30,15 @@ _LINK = lambda previous: """'{"corrected_level":' || """ + _q("corrected_level")
 
 
 def signatures(spark, d) -> DataFrame:
-    """One chain a district of signers, so that chains are many and each is short."""
-    return a.adjudications(spark, d).withColumn("chain", F.col("id") % 37)
+    """One chain a book of a thousand ids: chains grow in number with the signatures, and none grows beyond its book."""
+    return a.adjudications(spark, d).withColumn("chain", F.floor(F.col("id") / 1000))
 
 
 def chained(rows: DataFrame) -> DataFrame:
     """prev_hash and row_hash of every signature: an ordered fold over each chain.
 
-    A chain is sequential by nature, so one chain is one group; many chains are folded at once. What crosses the
-    shuffle is the decision-bearing columns alone.
+    A chain is sequential by nature, so one chain is one group, of at most a book's signatures; all chains are folded
+    at once. What crosses the shuffle is the decision-bearing columns alone.
     """
     entry = F.struct("id", "verdict_id", "user_id", "decision", "corrected_level", "reason", "decided_on")
     kind = "struct<id:bigint,prev_hash:string,row_hash:string>"
@@ -54,7 +54,7 @@ def chained(rows: DataFrame) -> DataFrame:
     return rows.join(links, ["chain", "id"])
 
 
-_CHAIN_ROWS = "SELECT *, id % 37 AS chain, row_number() OVER (PARTITION BY id % 37 ORDER BY id) AS nth FROM fx_adjudications"
+_CHAIN_ROWS = "SELECT *, id // 1000 AS chain, row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS nth FROM fx_adjudications"
 CHAIN_SQL = "WITH RECURSIVE chain_rows AS (" + sql(_CHAIN_ROWS) + "), linked AS (SELECT chain, id, nth, '" + GENESIS + "' AS prev_hash, sha256(" + _LINK(f"'{GENESIS}'") + ") AS row_hash FROM chain_rows WHERE nth = 1 UNION ALL SELECT r.chain, r.id, r.nth, l.row_hash, sha256(" + _LINK("l.row_hash") + ") FROM chain_rows r JOIN linked l ON r.chain = l.chain AND r.nth = l.nth + 1) SELECT chain, id, prev_hash, row_hash FROM linked"
 
 
@@ -277,24 +277,13 @@ def quality_gate(spark, d) -> DataFrame:
     return shots(spark, d).select("image_id", F.array_join(quality_flags(), ",").alias("flags"))
 
 
-def close_hashes(spark, d) -> DataFrame:
-    """Hashes with planted near copies: every fifth image repeats its predecessor but for a few bits."""
-    p = a.phash(spark, d)
-    copies = p.where("image_id % 5 = 0").select((F.col("image_id") + 1_000_000).alias("image_id"), "district_lgd", F.col("phash").bitwiseXOR(F.shiftleft(F.lit(5).cast("long"), 9)).alias("phash"))
-    return p.unionByName(copies)
-
-
-_CLOSE = "SELECT image_id, district_lgd, phash FROM fx_phash UNION ALL SELECT image_id + 1000000, district_lgd, xor(phash, CAST(2560 AS BIGINT)) FROM fx_phash WHERE image_id % 5 = 0"
-_SIMILAR = "SELECT x.image_id AS a, y.image_id AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS bits_apart FROM close_h x JOIN close_h y ON x.district_lgd = y.district_lgd AND x.image_id < y.image_id AND bit_count(xor(x.phash, y.phash)) <= 6"
-
-
-@query("ing_05", sql("SELECT b AS image_id, min(a) AS duplicate_of FROM similar_h GROUP BY 1", similar_h=_SIMILAR, close_h=_CLOSE))
+@query("ing_05", sql("SELECT b AS image_id, min(a) AS duplicate_of FROM similar_h GROUP BY 1", **SIMILAR_SQL))
 def duplicates(spark, d) -> DataFrame:
     """The first image, by id, of which each later one is a duplicate."""
     return similar_images(close_hashes(spark, d)).groupBy(F.col("b").alias("image_id")).agg(F.min("a").alias("duplicate_of"))
 
 
-@query("ing_06", sql("SELECT a, b, CASE WHEN bits_apart <= 3 THEN 'duplicate' ELSE 'similar' END AS kind FROM similar_h", similar_h=_SIMILAR, close_h=_CLOSE))
+@query("ing_06", sql("SELECT a, b, CASE WHEN bits_apart <= 3 THEN 'duplicate' ELSE 'similar' END AS kind FROM similar_h", **SIMILAR_SQL))
 def similar_band(spark, d) -> DataFrame:
     return similar_images(close_hashes(spark, d)).select("a", "b", F.when(F.col("bits_apart") <= 3, "duplicate").otherwise("similar").alias("kind"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions import vocabulary as v
+from ..functions.trends import median_slopes, sign_sums
 from ..functions.queries import WINDOWS_SQL, base_direction, covariate_distance, prefix_direction
 from ..plans.oracle import sql
 from ..plans.registry import query
@@ -296,6 +297,15 @@ def sites(spark, d) -> DataFrame:
     return a.read(spark, d, "customer").selectExpr(*(f"{e} AS {n}" for n, e in _SITE.items()))
 
 
+#: Sites and candidate controls of one sub-watershed.
+SITES_EACH, CONTROLS_EACH = 1500, 100
+
+
+def watershed(ident: str, each: int):
+    """The sub-watershed of a site or candidate: consecutive ids lie together."""
+    return F.floor(F.col(ident) / each)
+
+
 def reject_reason():
     """The first rule that refuses a candidate; null for a survivor. The order is part of the meaning."""
     c = F.col
@@ -312,10 +322,14 @@ def reject_reason():
 
 
 def matched(site: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Every candidate of a site's sub-watershed with the reason for its rejection, or its distance."""
+    """Every candidate of a site's sub-watershed with the reason for its rejection, or its distance.
+
+    Sub-watersheds are of bounded size and grow in number with the sites, so the pairs grow with the sites, not with
+    their square, and no key is hot.
+    """
     names = {"slope_deg": "c_slope", "lulc_class": "c_lulc", "elevation_m": "c_elevation", "strahler_order": "c_order", "dist_to_stream_m": "c_stream", "data_sufficiency": "c_sufficiency"}
-    candidate = candidate.withColumnsRenamed(names).withColumn("watershed", F.col("control_id") % 4)
-    rows = site.withColumn("watershed", F.col("claim_id") % 4).join(candidate, "watershed")
+    candidate = candidate.withColumnsRenamed(names).withColumn("watershed", watershed("control_id", CONTROLS_EACH))
+    rows = site.withColumn("watershed", watershed("claim_id", SITES_EACH)).join(candidate, "watershed")
     c = F.col
     return rows.withColumns({"reason": reject_reason(), "distance": covariate_distance(c("slope_deg") - c("c_slope"), c("elevation_m") - c("c_elevation"), c("dist_to_stream_m") - c("c_stream"))})
 
@@ -334,8 +348,8 @@ def selected(rows: DataFrame) -> DataFrame:
     return alive.withColumn("status", F.when(F.col("_before") >= v.MAX_CONTROLS, "beyond_max_controls").when(F.col("_rank") > v.PER_CELL, "spatial_cell_full").otherwise("selected")).drop("_rank", "_before", "_cx", "_cy")
 
 
-_SITES = f"SELECT {_site_sql} FROM customer WHERE c_custkey % 15 = 0"
-_MATCHED = "SELECT s.claim_id, s.site_delta, c.control_id, c.delta, c.easting_m, c.northing_m, CASE WHEN c.dist_to_nearest_intervention_m < 250 THEN 'too_close_to_intervention' WHEN c.inside_command_buffer THEN 'inside_command_buffer' WHEN abs(c.slope_deg - s.slope_deg) > 2 THEN 'slope_mismatch' WHEN c.lulc_class <> s.lulc_class THEN 'lulc_mismatch' WHEN abs(c.elevation_m - s.elevation_m) > 50 THEN 'elevation_mismatch' WHEN s.channel AND c.strahler_order <> s.strahler_order THEN 'strahler_mismatch' WHEN NOT s.channel AND abs(c.dist_to_stream_m - s.dist_to_stream_m) > 50 THEN 'dist_to_stream_mismatch' WHEN c.data_sufficiency < s.data_sufficiency THEN 'insufficient_data' END AS reason, sqrt((s.slope_deg - c.slope_deg) / 2e0 * ((s.slope_deg - c.slope_deg) / 2e0) + (s.elevation_m - c.elevation_m) / 50e0 * ((s.elevation_m - c.elevation_m) / 50e0) + (s.dist_to_stream_m - c.dist_to_stream_m) / 50e0 * ((s.dist_to_stream_m - c.dist_to_stream_m) / 50e0)) AS distance FROM sites s JOIN fx_candidates c ON s.claim_id % 4 = c.control_id % 4"
+_SITES = f"SELECT {_site_sql} FROM customer"
+_MATCHED = "SELECT s.claim_id, s.site_delta, c.control_id, c.delta, c.easting_m, c.northing_m, CASE WHEN c.dist_to_nearest_intervention_m < 250 THEN 'too_close_to_intervention' WHEN c.inside_command_buffer THEN 'inside_command_buffer' WHEN abs(c.slope_deg - s.slope_deg) > 2 THEN 'slope_mismatch' WHEN c.lulc_class <> s.lulc_class THEN 'lulc_mismatch' WHEN abs(c.elevation_m - s.elevation_m) > 50 THEN 'elevation_mismatch' WHEN s.channel AND c.strahler_order <> s.strahler_order THEN 'strahler_mismatch' WHEN NOT s.channel AND abs(c.dist_to_stream_m - s.dist_to_stream_m) > 50 THEN 'dist_to_stream_mismatch' WHEN c.data_sufficiency < s.data_sufficiency THEN 'insufficient_data' END AS reason, sqrt((s.slope_deg - c.slope_deg) / 2e0 * ((s.slope_deg - c.slope_deg) / 2e0) + (s.elevation_m - c.elevation_m) / 50e0 * ((s.elevation_m - c.elevation_m) / 50e0) + (s.dist_to_stream_m - c.dist_to_stream_m) / 50e0 * ((s.dist_to_stream_m - c.dist_to_stream_m) / 50e0)) AS distance FROM sites s JOIN fx_candidates c ON s.claim_id // 1500 = c.control_id // 100"
 _CELLED = "SELECT *, row_number() OVER (PARTITION BY claim_id, floor(easting_m / 500), floor(northing_m / 500) ORDER BY distance, control_id) AS cell_rank FROM matched WHERE reason IS NULL"
 _CHOSEN = "SELECT *, CASE WHEN before >= 12 THEN 'beyond_max_controls' WHEN cell_rank > 3 THEN 'spatial_cell_full' ELSE 'selected' END AS status FROM (SELECT *, coalesce(sum(CASE WHEN cell_rank <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY claim_id ORDER BY distance, control_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM celled)"
 _CONTROLS = {"sites": _SITES, "matched": _MATCHED, "celled": _CELLED, "chosen": _CHOSEN}
@@ -405,34 +419,48 @@ def control_family(spark, d) -> DataFrame:
     return rows.select("claim_id", F.col("n_controls").isNotNull().alias("available"), F.coalesce(F.when(F.abs(x) < v.NOISE, 0.0).otherwise(s.stored(size)), F.lit(0.0)).alias("agreement"))
 
 
-@query("joi_15", sql("SELECT p.claim_id, p.season, count(c.control_id) AS n_controls FROM pairs p LEFT JOIN fx_candidates c ON c.control_id % 4 = p.claim_id % 4 AND c.delta IS NOT NULL AND c.lulc_class = 1 WHERE p.pre_year IS NOT NULL AND p.post_year IS NOT NULL AND p.index_name = 'NDVI' GROUP BY ALL", **_SEASONS))
+_ARRAYS = "SELECT control_id // 100 AS g, CASE WHEN lulc_class = 1 THEN control_id * 7 % 11 END AS before, CASE WHEN control_id % 3 <> 0 THEN control_id * 5 % 13 END AS after FROM fx_candidates"
+_ZIPPED = (
+    "SELECT p.claim_id, p.season, count(c.g) AS n_controls, CAST(coalesce(sum(c.after - c.before), 0) AS BIGINT) AS moved FROM pairs p "
+    "LEFT JOIN arrays c ON c.g = p.claim_id // 2000 AND c.before IS NOT NULL AND c.after IS NOT NULL "
+    "WHERE p.pre_year IS NOT NULL AND p.post_year IS NOT NULL AND p.index_name = 'NDVI' GROUP BY ALL"
+)
+
+
+@query("joi_15", sql(_ZIPPED, arrays=_ARRAYS, **_SEASONS))
 def control_arrays(spark, d) -> DataFrame:
-    """Pairings with their controls' before and after arrays zipped, missing ones dropped."""
-    groups = a.candidates(spark, d).groupBy((F.col("control_id") % 4).alias("_g")).agg(F.collect_list(F.struct(F.col("lulc_class").alias("c"), F.col("delta").alias("x"))).alias("_l"))
-    rows = paired(spark, d).where("index_name = 'NDVI'").withColumn("_g", F.col("claim_id") % 4).join(groups, "_g", "left")
-    before, after = F.transform("_l", lambda e: F.when(e["c"] == 1, e["x"])), F.transform("_l", lambda e: e["x"])
-    deltas = F.filter(F.zip_with(before, after, lambda p, q: q - p), lambda x: x.isNotNull())
-    return rows.select("claim_id", "season", F.coalesce(F.size(deltas), F.lit(0)).cast("long").alias("n_controls"))
+    """Pairings with their controls' before and after arrays zipped, places missing in either dropped.
+
+    The arrays are those of the pairing's sub-watershed, at most ``CONTROLS_EACH`` long.
+    """
+    c = F.col("control_id")
+    before, after = F.when(F.col("lulc_class") == 1, c * 7 % 11), F.when(c % 3 != 0, c * 5 % 13)
+    of = a.candidates(spark, d).groupBy(watershed("control_id", CONTROLS_EACH).alias("_g")).agg(F.collect_list(F.struct(before.alias("b"), after.alias("a"))).alias("_l"))
+    rows = paired(spark, d).where("index_name = 'NDVI'").withColumn("_g", watershed("claim_id", 2000)).join(of, "_g", "left")
+    deltas = F.filter(F.zip_with(F.col("_l.b"), F.col("_l.a"), lambda p, q: q - p), lambda x: x.isNotNull())
+    moved = F.aggregate(deltas, F.lit(0).cast("long"), lambda total, x: total + x)
+    return rows.select("claim_id", "season", F.coalesce(F.size(deltas), F.lit(0)).cast("long").alias("n_controls"), F.coalesce(moved, F.lit(0)).alias("moved"))
 
 
 # --- trends
 
 
 def mann_kendall(rows: DataFrame, key: str, at: str, value: str, least: int = 5) -> DataFrame:
-    """n, S, variance with tie correction and Z of each series; fewer than ``least`` points are insufficient."""
+    """n, S, variance with tie correction and Z of each series; fewer than ``least`` points are insufficient.
+
+    S counts ranks by merging (n log n a series). Values missing or not a number are left out.
+    """
     rows = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, at, value)
-    later = rows.select(key, F.col(at).alias("_t"), F.col(value).alias("_v"))
-    s_ = rows.join(later, key).where(F.col(at) < F.col("_t")).groupBy(key).agg(F.sum(F.signum(F.col("_v") - F.col(value)).cast("long")).alias("s"))
     ties = rows.groupBy(key, value).agg(count().alias("_c")).groupBy(key).agg(F.sum("_c").alias("n"), F.sum(F.when(F.col("_c") > 1, F.col("_c") * (F.col("_c") - 1) * (2 * F.col("_c") + 5)).otherwise(0)).alias("_ties"))
-    rows = ties.join(s_, key, "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    rows = ties.where(F.col("n") >= least).join(sign_sums(rows, key, at, value), key)
     n = F.col("n")
-    rows = rows.withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / F.lit(18.0)).where(n >= least)
+    rows = rows.withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / F.lit(18.0))
     z = F.when(F.col("var_s") <= 0, 0.0).when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var_s")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var_s")).otherwise(0.0)
     return rows.withColumn("z", z).drop("_ties")
 
 
 _MK = "SELECT t.user_id, n, coalesce(s, 0) AS s, (n * (n - 1) * (2 * n + 5) - ties) / 18e0 AS var_s FROM (SELECT user_id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(CASE WHEN c > 1 THEN c * (c - 1) * (2 * c + 5) ELSE 0 END) AS BIGINT) AS ties FROM (SELECT user_id, value, count(*) AS c FROM series GROUP BY ALL) GROUP BY 1) t LEFT JOIN (SELECT x.user_id, CAST(sum(CAST(sign(y.value - x.value) AS BIGINT)) AS BIGINT) AS s FROM series x JOIN series y ON x.user_id = y.user_id AND x.event_id < y.event_id GROUP BY 1) p USING (user_id) WHERE n >= 5"
-_SERIES = "SELECT user_id, event_id, round(value) AS value FROM events WHERE event_id % 10 = 0"
+_SERIES = "SELECT user_id, event_id, round(value) AS value FROM events"
 
 
 def series(spark, d) -> DataFrame:
@@ -462,9 +490,7 @@ def p_values(spark, d) -> DataFrame:
 
 @query("prd_15", sql("SELECT x.user_id, quantile_cont((y.value - x.value) / (y.event_id - x.event_id), 0.5) AS slope FROM series x JOIN series y ON x.user_id = y.user_id AND x.event_id < y.event_id GROUP BY 1", series=_SERIES))
 def theil_sen(spark, d) -> DataFrame:
-    x = series(spark, d)
-    y = x.select("user_id", F.col("event_id").alias("_t"), F.col("value").alias("_v"))
-    return x.join(y, "user_id").where("event_id < _t").groupBy("user_id").agg(F.percentile((F.col("_v") - F.col("value")) / (F.col("_t") - F.col("event_id")), F.lit(0.5)).alias("slope"))
+    return median_slopes(series(spark, d), "user_id", "event_id", "value")
 
 
 # --- rainfall

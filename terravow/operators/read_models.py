@@ -41,7 +41,7 @@ def register(spark, d):
     return rows.select("claim_id", "unique_id", "level", "label", provenance(F.col("intervention_id") % 7 == 0).alias("origin"), (~F.col("status").eqNullSafe("adjudicated")).alias("provisional"), "n_available")
 
 
-@query("rm_04", sql(f"SELECT claim_id, CAST(list_position({list(v.DISPLAY_ORDER)!r}, family) AS INT) AS place, family, CASE WHEN NOT available THEN 'unavailable' WHEN agreement >= 0.15 THEN 'agrees' WHEN agreement <= -0.15 THEN 'disagrees' ELSE 'neutral' END AS direction FROM fx_evidence WHERE claim_id < 200"))
+@query("rm_04", sql(f"SELECT claim_id, CAST(list_position({list(v.DISPLAY_ORDER)!r}, family) AS INT) AS place, family, CASE WHEN NOT available THEN 'unavailable' WHEN agreement >= 0.15 THEN 'agrees' WHEN agreement <= -0.15 THEN 'disagrees' ELSE 'neutral' END AS direction FROM fx_evidence"))
 def evidence_tree(spark, d):
     place = F.array_position(F.array(*map(F.lit, v.DISPLAY_ORDER)), F.col("family")).cast("int")
     return a.evidence(spark, d).select("claim_id", place.alias("place"), "family", direction().alias("direction")).orderBy("claim_id", "place")
@@ -59,7 +59,7 @@ def map_page(spark, d):
     return rows.select("claim_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("claim_id", "level").alias("properties"))).alias("feature"))
 
 
-@query("rm_07", sql("SELECT claim_id, verdict_id, version, level FROM fx_newest WHERE claim_id % 100 = 1"))
+@query("rm_07", sql("SELECT claim_id, verdict_id, version, level FROM fx_newest"))
 def latest_verdict(spark, d):
     return a.newest(a.verdicts(spark, d)).select("claim_id", "verdict_id", "version", "level")
 

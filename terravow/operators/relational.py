@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions import vocabulary as v
+from ..functions.trends import sign_sums
+from ..functions.storage import written
 from ..plans.oracle import sql
 from ..plans.registry import query
 from ..sources import adapter as a
@@ -23,7 +25,7 @@ def units(column: str):
 
 
 def newest(spark, d) -> DataFrame:
-    return a.newest(a.verdicts(spark, d))
+    return a.newest_verdicts(spark, d)
 
 
 # --- filters
@@ -227,27 +229,55 @@ def images_works(spark, d):
     return a.phash(spark, d).join(a.interventions(spark, d), F.col("image_id") == F.col("intervention_id")).select("image_id", "unique_id")
 
 
-def hash_bands(rows: DataFrame) -> DataFrame:
-    """Seven bands of a 64-bit hash, six of 9 bits and one of 10: hashes within 6 bits share at least one."""
-    bands = [F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", F.col("phash"), F.lit(9 * i)).bitwiseAND(F.lit(1023 if i == 6 else 511)).alias("bits")) for i in range(7)]
-    return rows.select("*", F.explode(F.array(*bands)).alias("_b")).select("*", "_b.band", "_b.bits").drop("_b")
+def hash_keys(rows: DataFrame) -> DataFrame:
+    """The 28 pairs of a 64-bit hash's eight bytes: hashes within 6 bits share two bytes, so at least one pair.
+
+    A key has 16 bits beside the district's; hashes of one district meet by chance in one of 2,340 pairs.
+    """
+    byte = lambda i: F.call_function("shiftrightunsigned", F.col("phash"), F.lit(8 * i)).bitwiseAND(F.lit(255))
+    keys = [F.struct(F.lit(8 * i + j).alias("pair"), (byte(i) * 256 + byte(j)).alias("bits")) for i in range(8) for j in range(i + 1, 8)]
+    return rows.select("*", F.explode(F.array(*keys)).alias("_k")).select("*", "_k.pair", "_k.bits").drop("_k")
 
 
 def similar_images(rows: DataFrame, distance: int = 6) -> DataFrame:
-    """Pairs of images of one district within ``distance`` bits (at most 6), each once: joined by band, then verified."""
+    """Pairs of images of one district within ``distance`` bits (at most 6), each once: joined by key, then verified.
+
+    The hashes are written once, so that neither side of the join computes them again.
+    """
     if distance > 6:
-        raise ValueError("seven bands find up to six differing bits")
-    left = hash_bands(rows).select("district_lgd", "band", "bits", F.col("image_id").alias("a"), F.col("phash").alias("pa"))
-    right = hash_bands(rows).select("district_lgd", "band", "bits", F.col("image_id").alias("b"), F.col("phash").alias("pb"))
-    pairs = left.join(right, ["district_lgd", "band", "bits"]).where((F.col("a") < F.col("b")) & (s.hamming(F.col("pa"), F.col("pb")) <= distance))
-    # a pair that shares several bands is reported by the first of them
-    first = reduce(lambda found, i: found | ((F.col("band") > i) & (F.call_function("shiftrightunsigned", F.col("pa").bitwiseXOR(F.col("pb")), F.lit(9 * i)).bitwiseAND(F.lit(511)) == 0)), range(6), F.lit(False))
-    return pairs.where(~first).select("a", "b", s.hamming(F.col("pa"), F.col("pb")).alias("bits_apart"))
+        raise ValueError("pairs of bytes find up to six differing bits")
+    keys = hash_keys(written(rows.select("district_lgd", "image_id", "phash"), "hashes"))
+    left = keys.select("district_lgd", "pair", "bits", F.col("image_id").alias("a"), F.col("phash").alias("pa"))
+    right = keys.select("district_lgd", "pair", "bits", F.col("image_id").alias("b"), F.col("phash").alias("pb"))
+    pairs = left.join(right, ["district_lgd", "pair", "bits"]).where((F.col("a") < F.col("b")) & (s.hamming(F.col("pa"), F.col("pb")) <= distance))
+    # two hashes that share several keys are reported by the first two bytes that agree
+    apart = F.col("pa").bitwiseXOR(F.col("pb"))
+    same = F.filter(F.array(*map(F.lit, range(8))), lambda i: F.call_function("shiftrightunsigned", apart, i * 8).bitwiseAND(F.lit(255)) == 0)
+    return pairs.where(F.col("pair") == F.get(same, F.lit(0)) * 8 + F.get(same, F.lit(1))).select("a", "b", s.hamming(F.col("pa"), F.col("pb")).alias("bits_apart"))
+
+
+#: Planted differences of 0 to 7 bits, one in another byte each: the last is beyond the distance.
+MASKS = tuple(sum(1 << 9 * i for i in range(n)) for n in range(8))
+
+
+def close_hashes(spark, d) -> DataFrame:
+    """Hashes with planted near copies: every fifth image is there again, 0 to 7 bits away."""
+    p = a.phash(spark, d)
+    mask = F.get(F.array(*(F.lit(m).cast("long") for m in MASKS)), (F.col("image_id") / 5 % 8).cast("int"))
+    copies = p.where("image_id % 5 = 0").select((F.col("image_id") + 1_000_000).alias("image_id"), "district_lgd", F.col("phash").bitwiseXOR(mask).alias("phash"))
+    return p.unionByName(copies)
 
 
-@query("joi_10", sql("SELECT x.image_id AS a, y.image_id AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS bits_apart FROM fx_phash x JOIN fx_phash y ON x.district_lgd = y.district_lgd AND x.image_id < y.image_id AND bit_count(xor(x.phash, y.phash)) <= 6"))
+_CLOSE = f"SELECT image_id, district_lgd, phash FROM fx_phash UNION ALL SELECT image_id + 1000000, district_lgd, xor(phash, CAST({list(MASKS)}[CAST(image_id // 5 % 8 AS INT) + 1] AS BIGINT)) FROM fx_phash WHERE image_id % 5 = 0"
+SIMILAR_SQL = {
+    "close_h": _CLOSE,
+    "similar_h": "SELECT x.image_id AS a, y.image_id AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS bits_apart FROM close_h x JOIN close_h y ON x.district_lgd = y.district_lgd AND x.image_id < y.image_id AND bit_count(xor(x.phash, y.phash)) <= 6",
+}
+
+
+@query("joi_10", sql("SELECT a, b, bits_apart FROM similar_h", **SIMILAR_SQL))
 def hamming_join(spark, d):
-    return similar_images(a.phash(spark, d))
+    return similar_images(close_hashes(spark, d))
 
 
 @query("joi_11", sql("SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation WHERE n_nationkey % 5 = r_regionkey"))
@@ -268,12 +298,12 @@ def scenes_registered(spark, d):
     return scenes.join(a.read(spark, d, "region"), F.col("scene") == F.col("r_regionkey"), "left").select("scene", F.col("r_regionkey").isNotNull().alias("registered"))
 
 
-@query("joi_17", sql("SELECT x.user_id, CAST(sum(CAST(sign(y.value - x.value) AS BIGINT)) AS BIGINT) AS s FROM series x JOIN series y ON x.user_id = y.user_id AND x.event_id < y.event_id GROUP BY 1", series="SELECT user_id, event_id, value FROM events WHERE event_id % 10 = 0"))
+@query("joi_17", sql("SELECT x.user_id, CAST(sum(CAST(sign(y.value - x.value) AS BIGINT)) AS BIGINT) AS s FROM series x JOIN series y ON x.user_id = y.user_id AND x.event_id < y.event_id GROUP BY 1", series="SELECT user_id, event_id, value FROM events"))
 def pairwise_signs(spark, d):
     """Sum of the signs of all later-minus-earlier differences of each user's series."""
-    series = a.read(spark, d, "events").select("user_id", "event_id", "value")
-    later = series.select("user_id", F.col("event_id").alias("later"), F.col("value").alias("after"))
-    return series.join(later, "user_id").where("event_id < later").groupBy("user_id").agg(F.sum(F.signum(F.col("after") - F.col("value")).cast("long")).alias("s"))
+    found = sign_sums(a.read(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+    several = a.read(spark, d, "events").groupBy("user_id").agg(count().alias("_n")).where("_n > 1")
+    return found.join(several, "user_id", "left_semi")
 
 
 @query("joi_18", sql("SELECT i.intervention_id, t.ceiling, t.optical FROM fx_interventions i JOIN fx_types t USING (type)"))
@@ -487,10 +517,28 @@ def tiebreaks(spark, d):
     return queue(newest(spark, d), a.adjudications(spark, d)).select("claim_id", "tiebreak")
 
 
+#: Ids of one band of numbers.
+BAND = 100_000
+
+
 @query("win_08", sql("SELECT claim_id, 'MH-' || district_lgd || '-' || lpad(CAST(row_number() OVER (PARTITION BY district_lgd ORDER BY claim_id) AS VARCHAR), 5, '0') AS number FROM fx_claims"))
 def numbered(spark, d):
-    nth = F.row_number().over(Window.partitionBy("district_lgd").orderBy("claim_id"))
-    return a.claims(spark, d).select("claim_id", F.concat(F.lit("MH-"), "district_lgd", F.lit("-"), F.lpad(nth.cast("string"), 5, "0")).alias("number"))
+    """Sequence numbers within a district: bands of ids are numbered apart and start after the bands before them."""
+    rows = a.claims(spark, d).select("claim_id", "district_lgd", F.floor(F.col("claim_id") / BAND).alias("_band"))
+    sizes = rows.groupBy("district_lgd", "_band").agg(count().alias("_n"))  # a row for up to BAND claims
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("district_lgd").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("district_lgd", "_band").orderBy("claim_id"))
+    nth = (F.col("_before") + F.col("_within")).cast("string")
+    padded = F.when(F.length(nth) < 5, F.lpad(nth, 5, "0")).otherwise(nth)
+    return rows.withColumn("_within", within).join(before, ["district_lgd", "_band"]).select("claim_id", F.concat(F.lit("MH-"), "district_lgd", F.lit("-"), padded).alias("number"))
+
+
+@query("win_05", sql("SELECT id, lag(id) OVER (PARTITION BY chain ORDER BY id) AS previous_id, coalesce(id - lag(id) OVER (PARTITION BY chain ORDER BY id) > 200, false) AS gap FROM (SELECT id, id // 1000 AS chain FROM fx_adjudications)"))
+def previous_link(spark, d):
+    """Each signature beside its predecessor in the chain, and whether ids between them are missing."""
+    order = Window.partitionBy(F.floor(F.col("id") / 1000)).orderBy("id")
+    rows = a.adjudications(spark, d).select("id", F.lag("id").over(order).alias("previous_id"))
+    return rows.withColumn("gap", F.coalesce(F.col("id") - F.col("previous_id") > 200, F.lit(False)))
 
 
 @query("win_09", sql("SELECT user_id, run, count(*) AS n FROM (SELECT user_id, event_type, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) WHERE event_type <> 'error' GROUP BY ALL"))
@@ -578,11 +626,15 @@ def set_difference(spark, d):
 _absent = "[" + ", ".join(f"CASE WHEN NOT {f}_available THEN '{f}' END" for f in v.FAMILIES) + "]"
 
 
-@query("set_03", sql(f"SELECT claim_id, version, array_to_string(list_sort([x FOR x IN {_absent} IF x IS NOT NULL]), ',') AS absent FROM fx_inputs"))
+_missing = "CASE WHEN claim_id % 6 = {i} THEN '{f}' END"
+
+
+@query("set_03", sql(f"SELECT claim_id, version, array_to_string(list_sort(list_distinct([x FOR x IN list_concat({_absent}, [{', '.join(_missing.format(i=i, f=f) for i, f in enumerate(v.FAMILIES))}]) IF x IS NOT NULL])), ',') AS absent FROM fx_inputs"))
 def absent_families(spark, d):
-    """Families unavailable or missing, sorted."""
+    """Families unavailable or missing from the bundle, sorted; every bundle lacks the family that its id names."""
     off = F.array_compact(F.array(*(F.when(~F.col(f"{f}_available"), f) for f in v.FAMILIES)))
-    missing = F.array_except(F.array(*map(F.lit, v.FAMILIES)), F.array(*map(F.lit, v.FAMILIES)))
+    held = F.array_compact(F.array(*(F.when(F.col("claim_id") % 6 != i, f) for i, f in enumerate(v.FAMILIES))))
+    missing = F.array_except(F.array(*map(F.lit, v.FAMILIES)), held)
     return a.verdict_inputs(spark, d).select("claim_id", "version", F.array_join(F.array_sort(F.array_union(off, missing)), ",").alias("absent"))
 
 

@@ -26,14 +26,14 @@ def json_lines(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).json(path)
 
 
-@query("src_03")
+@query("src_03", sql("SELECT claim_id, index_name, season, year, value FROM fx_observations"))
 def json_artefact(spark, d) -> DataFrame:
     """Seasonal series documents, one object a line, exploded into observations."""
     docs = a.observations(spark, d).groupBy("claim_id").agg(F.collect_list(F.struct("index_name", "season", "year", "value")).alias("series"))
     return json_lines(docs, "series").select("claim_id", F.inline("series"))
 
 
-@query("src_04", sql("SELECT id, action FROM fx_audit WHERE id % 10 = 0"))
+@query("src_04", sql("SELECT id, action FROM fx_audit"))
 def json_log(spark, d) -> DataFrame:
     """A probe log read by its schema; lines that do not fit would have nulls."""
     return json_lines(a.audit(spark, d).select("id", "action"), "log")
@@ -45,12 +45,12 @@ def declared_cases(spark, d) -> DataFrame:
     return spark.createDataFrame([("01", "L4", 1.0), ("04", "L3", 0.85), ("23", "L3", 0.7976)], "case_id string, expected string, anchor double")
 
 
-@query("src_06", sql("SELECT season, year, scene FROM (SELECT *, row_number() OVER (PARTITION BY season, year ORDER BY cloud, scene) AS nth FROM catalogue WHERE cloud < 20) WHERE nth <= 4", catalogue="SELECT l_suppkey AS scene, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN month(l_shipdate) BETWEEN 6 AND 10 THEN 'kharif' WHEN month(l_shipdate) BETWEEN 3 AND 5 THEN 'summer' ELSE 'rabi' END AS season, min(l_quantity) AS cloud FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY ALL"))
+@query("src_06", sql("SELECT season, year, scene FROM (SELECT *, row_number() OVER (PARTITION BY season, year ORDER BY cloud, scene) AS nth FROM catalogue WHERE cloud < 20) WHERE nth <= 4", catalogue="SELECT l_suppkey AS scene, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN month(l_shipdate) BETWEEN 6 AND 10 THEN 'kharif' WHEN month(l_shipdate) BETWEEN 3 AND 5 THEN 'summer' ELSE 'rabi' END AS season, min(l_quantity) AS cloud FROM lineitem GROUP BY ALL"))
 def scene_search(spark, d) -> DataFrame:
     """Catalogue search: bounded, under twenty percent cloud, the four clearest of each season."""
     from ..functions.scalars import season
 
-    rows = a.read(spark, d, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("scene"), F.year("l_shipdate").alias("year"), season("l_shipdate").alias("season")).agg(F.min("l_quantity").alias("cloud"))
+    rows = a.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("scene"), F.year("l_shipdate").alias("year"), season("l_shipdate").alias("season")).agg(F.min("l_quantity").alias("cloud"))
     nth = F.row_number().over(Window.partitionBy("season", "year").orderBy("cloud", "scene"))
     return rows.where("cloud < 20").withColumn("_n", nth).where("_n <= 4").select("season", "year", "scene")
 
@@ -156,7 +156,7 @@ def insert_missing(spark, d) -> DataFrame:
     return existing.unionByName(rows.join(existing, "intervention_id", "left_anti"))
 
 
-@query("snk_06", sql("SELECT chain, max(id) AS last_id, count(*) AS n FROM (SELECT id % 37 AS chain, id FROM fx_adjudications) GROUP BY 1"))
+@query("snk_06", sql("SELECT chain, max(id) AS last_id, count(*) AS n FROM (SELECT id // 1000 AS chain, id FROM fx_adjudications) GROUP BY 1"))
 def ledger_append(spark, d) -> DataFrame:
     """The tail of each chain after the append."""
     from ..operators.log_queries import chained, signatures

@@ -9,7 +9,6 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from terravow.plans.oracle import sql
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +100,7 @@ def controls(larger):
     matched, walked = {}, {}
     for k, site in sites.items():
         for j, c in others.items():
-            if k % 4 == j % 4:
+            if k // 1500 == j // 100:
                 d = [(site["slope"] - c["slope"]) / 2, (site["elevation"] - c["elevation"]) / 50, (site["stream"] - c["stream"]) / 50]
                 matched[k, j] = reason_of(site, c), math.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
         cells, walked[k] = collections.Counter(), {}
@@ -166,20 +165,30 @@ def same_rows(spark, larger, other, name, statement):
         assert other.execute(f"SELECT {columns} FROM {one} EXCEPT ALL SELECT {columns} FROM {two} LIMIT 3").fetchall() == []
 
 
-def lifted(name, cut):
-    """The registered SQL of a query over all rows instead of those of ``cut``."""
-    return entry.oracle_sql()[name].replace(f" WHERE {cut}", "")
+@pytest.mark.parametrize("name", ["rm_04", "rm_07", "stm_01", "src_03", "src_04", "src_06", "win_05", "win_08", "joi_15", "eng_16", "joi_10"])
+def test_whole_tables_beside_their_sql(spark, larger, other, name):
+    assert entry.queries()[name](spark, larger).limit(1).count() == 1
+    same_rows(spark, larger, other, name, entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize(("name", "cut"), [("rm_04", "claim_id < 200"), ("rm_07", "claim_id % 100 = 1")])
-def test_read_models_show_every_claim(spark, larger, other, name, cut):
-    same_rows(spark, larger, other, name, lifted(name, cut))
+def test_trend_statistics_of_any_length():
+    from terravow.functions import trends
 
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 64, 257):
+        values = np.round(draw.normal(0, 3, n))
+        expected = sum(int(y > x) - int(y < x) for i, x in enumerate(values) for y in values[i + 1 :])
+        assert trends.sign_sum(values) == expected
+    at, values = np.sort(draw.choice(10**6, 3001, replace=False)).astype("f8"), np.round(draw.normal(0, 3, 3001))
+    i, j = np.triu_indices(3001, 1)
+    assert trends.median_slope(at, values) == np.median((values[j] - values[i]) / (at[j] - at[i]))
+    assert trends.median_slope(at, np.zeros(3001)) == 0.0
 
-def test_every_claim_is_streamed(spark, larger, other):
-    same_rows(spark, larger, other, "stm_01", lifted("stm_01", "claim_id % 5 = 0"))
 
+def test_other_configurations_are_refused_or_told_apart():
+    from terravow.functions.vocabulary import Config
 
-def test_every_series_and_log_line_is_read_again(spark, larger, other):
-    same_rows(spark, larger, other, "src_03", sql("SELECT claim_id, index_name, season, year, value FROM fx_observations"))
-    same_rows(spark, larger, other, "src_04", lifted("src_04", "id % 10 = 0"))
+    assert Config().text() != Config(epsilon=0.2).text()
+    for wrong in ({"agreeing": -0.1}, {"epsilon": 0.9}, {"weights": (("terrain", 1.0),)}):
+        with pytest.raises(ValueError):
+            Config(**wrong)
