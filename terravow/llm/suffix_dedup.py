@@ -1,13 +1,14 @@
-"""Removal of repeated byte strings by anchor thinning and hash grouping, instead of the dealt prefix doubling.
+"""Removal of repeated byte strings: anchors thin the positions, Spark ranks and groups what may repeat.
 
-Every byte covered by a string of ``length`` bytes that also starts elsewhere is removed. Prefix doubling would sort
-all positions by pairs of the last round's ranks and rerank them, over lengths that double; none of that is done here.
-By estimate, not measured, it would shuffle some twenty bytes a byte and round. Positions are thinned first, without
-loss: a window (a string of ``length`` bytes)
-is represented by its anchor, the place in it whose eight bytes hash lowest among those with ``PREFIX`` bytes of the
-window still behind them. Equal windows have their anchor at the same offset; the windows of one anchor are neighbours.
+Every byte covered by a string of ``length`` bytes that also starts elsewhere is removed.
 
-Spark then groups by rank at four fixed levels, and what is unique leaves:
+:func:`doubled_spans` is prefix doubling as such: every position, rank pairs at doubling offsets, sorted and reranked
+until unique or past ``length``. It is exact without any fingerprint, and shuffles some forty bytes a position and
+round, which the README gives in figures. :func:`repeated_spans`, which the query uses, finds the same spans on large
+tables. Positions are thinned first, without loss: a window (a string of ``length`` bytes) is represented by its
+anchor, the place in it whose eight bytes hash lowest among those with ``PREFIX`` bytes of the window still behind
+them. Equal windows have their anchor at the same offset; the windows of one anchor are neighbours. Ranks are then
+taken of growing strings, and what is unique leaves:
 
 1. anchors by the ``PREFIX`` bytes behind them; those with a unique rank leave;
 2. the rest by the whole stretch that their windows cover (its two halves' ranks as a pair). An equal stretch means
@@ -16,9 +17,10 @@ Spark then groups by rank at four fixed levels, and what is unique leaves:
    unique, and is removed if the stretch it covers is repeated;
 4. what is left are single windows, ranked by the pair of their halves.
 
-A rank is a fingerprint of its string, 64 bits to a half. Whether a rank may be repeated is passed to the next scan as a
-bitmap of fixed size, which can only let too much through; what is removed rests on exact counts of rank pairs. Counts
-are partial aggregates, so a string found in a third of all documents reaches each reducer as one row a task.
+A rank is a fingerprint of its string, 64 bits to a half. What is still open reaches the next scan as a :class:`Sieve`:
+a bitmap sized by the exact count of what it holds, up to ``MAP_BITS``; beyond that nothing is broadcast and the same
+rows are found by a join. A sieve can only let too much through; what is removed rests on exact counts of rank pairs.
+Counts are partial aggregates, so a string found in a third of all documents reaches each reducer as one row a task.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batches_of, table, text_bytes, written
 
 LENGTH, PREFIX, BLOCK = 400, 128, 8
-#: log2 of the bits of the maps of ranks that may be repeated.
-MAP_BITS = 26
+#: log2 of the most bits that a map may have (64 MB), and the bits it has for each number it holds.
+MAP_BITS, BITS_EACH = 29, 32
+#: How far a number is shifted for each of its bits in a map.
+PROBES = (0, 17, 34)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,73 +83,103 @@ def _pair(part: memoryview, seed: int) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def _doc_key(ident, text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8, salt=str(ident).encode()[-16:]).digest(), "little", signed=True)
+def _doc_key(ident, text: bytes) -> bytes:
+    """128 bits of a document's id and text. Documents of equal text may share a key: they lose the same bytes."""
+    return hashlib.blake2b(text, digest_size=16, salt=str(ident).encode()[-16:]).digest()
 
 
-def _mark(key: int | list[int], anchor: np.ndarray | list[int]) -> np.ndarray:
-    """A number for (document, anchor), well mixed."""
+def _mark(key: bytes | list[int], anchor: np.ndarray | list[int]) -> np.ndarray:
+    """A number for (document, anchor), well mixed; ``key`` is a document's, or numbers of contexts."""
+    of = np.frombuffer(key[:8], "u8") if isinstance(key, bytes) else np.asarray(key, "i8").view("u8")
     with np.errstate(over="ignore"):
-        x = (np.asarray(anchor, "u8") + np.uint64(1)) * _MIX ^ np.asarray(key, "i8").view("u8")
+        x = (np.asarray(anchor, "u8") + np.uint64(1)) * _MIX ^ of
         x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ x >> np.uint64(29)).view("i8")
 
 
-def bitmap(df: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
-    """A bit map of the low bits of a column's numbers: at most 2**(bits - 15) rows come to the driver."""
-    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = df.select(F.shiftright(low, 15).alias("_k"), low.bitwiseAND(F.lit(32767)).alias("_b")).groupBy("_k").agg(F.bitmap_construct_agg("_b").alias("_m")).collect()
-    out = np.zeros(1 << bits - 3, "u1")
-    for k, _m in rows:
-        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(bytes(_m), "u1")
-    return out
+class Sieve:
+    """Which well-mixed 64-bit numbers may be in a column: a bitmap with three bits set for each."""
 
+    def __init__(self, held: np.ndarray, bits: int):
+        self.held, self.bits = held, bits
 
-def in_bitmap(held: np.ndarray, numbers: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
-    low = np.asarray(numbers, "i8") & (1 << bits) - 1
-    return (held[low >> 3] >> (low & 7)) & 1 == 1
+    @staticmethod
+    def of(df: DataFrame, column: str, most: int = MAP_BITS) -> Broadcast | None:
+        """Broadcast, with ``BITS_EACH`` bits a row or at least eight; None where that takes more than 2**most bits.
 
+        ``df`` is counted first, so it should be a written table. At most 2**(most - 15) rows of 4 KB come to the driver.
+        """
+        n = df.count()
+        bits = max(16, min((n * BITS_EACH).bit_length(), most))
+        if n * 8 > 1 << most:
+            return None
+        low = F.explode(F.array(*(F.shiftrightunsigned(F.col(column), k).bitwiseAND(F.lit((1 << bits) - 1)) for k in PROBES)))
+        rows = df.select(low.alias("_p")).select(F.shiftright("_p", 15).alias("_k"), F.col("_p").bitwiseAND(F.lit(32767)).alias("_b")).groupBy("_k").agg(F.bitmap_construct_agg("_b").alias("_m")).collect()
+        held = np.zeros(1 << bits - 3, "u1")
+        for k, _m in rows:
+            held[k * 4096 : (k + 1) * 4096] = np.frombuffer(bytes(_m), "u1")
+        return df.sparkSession.sparkContext.broadcast(Sieve(held, bits))
 
-def _scan(docs: DataFrame, per_text: Callable[[object, bytes], Iterator[tuple]], names: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Rows of long columns made from each text."""
+    def lets_through(self, numbers: np.ndarray | list[int]) -> np.ndarray:
+        through, of = np.ones(len(numbers), bool), np.asarray(numbers, "i8").view("u8")
+        for k in PROBES:
+            low = (of >> np.uint64(k) & np.uint64((1 << self.bits) - 1)).view("i8")
+            through &= (self.held[low >> 3] >> (low & 7)) & 1 == 1
+        return through
+
+
+def _may(sieve: Broadcast | None, numbers: np.ndarray | list[int]) -> np.ndarray:
+    """What the sieve lets through; everything where there is none."""
+    return np.ones(len(numbers), bool) if sieve is None else sieve.value.lets_through(numbers)
+
+
+def _scan(docs: DataFrame, per_text: Callable[[object, bytes], Iterator[tuple]], shape: list[tuple[str, str, pa.DataType]], id_col: str, text_col: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows made from each text: ``per_text`` yields a list of values a column."""
 
     def scanned(batches):
         for batch in batches_of(batches, 4_000_000):
-            out: list[list] = [[] for _ in names]
-            for ident, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                for row in per_text(ident, text):
+            out: list[list] = [[] for _ in shape]
+            extra = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
+            for ident, text, *rest in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), *extra, strict=True):
+                for row in per_text(ident, text, *rest):
                     for column, values in zip(out, row, strict=True):
                         column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, _, kind) in zip(out, shape, strict=True)], names=[n for n, _, _ in shape])
+
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *more).mapInArrow(scanned, ", ".join(f"{n} {t}" for n, t, _ in shape))
 
-    return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(scanned, ", ".join(f"{n} long" for n in names))
+
+def _longs(*names: str) -> list[tuple[str, str, pa.DataType]]:
+    return [(n, "long", pa.int64()) for n in names]
+
+
+_DOC = [("_doc", "binary", pa.binary())]
 
 
 def _repeated(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
-def _open_classes(rows: DataFrame, rank: str) -> DataFrame:
-    """Marks of one member of each class of equal rank pairs, where a rank has several classes.
+def _open_classes(rows: DataFrame, rank: str, *place: str) -> DataFrame:
+    """``place`` of one member of each class of equal rank pairs, where a rank has several classes.
 
     Only there can one class share a window with another: the members of a rank's only class are removed if there are
     several, or unique.
     """
-    classes = rows.groupBy(rank, "left", "right").agg(F.min("mark").alias("mark"))
+    classes = rows.groupBy(rank, "left", "right").agg(F.min(F.struct(*place)).alias("_first"))
     several = classes.groupBy(rank).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(rank)
-    return classes.join(several, rank, "left_semi").select("mark")
+    return classes.join(several, rank, "left_semi").select("_first.*")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
     """(_doc, start, stop): byte spans to remove, overlapping ones included; ``_doc`` is a document's :func:`_doc_key`."""
-    context = docs.sparkSession.sparkContext
 
     def prefixes(ident, text):
         view = memoryview(text)
         yield ([_rank(view[a : a + prefix]) for a in anchors(text, length, prefix)[0].tolist()],)
 
-    first = _scan(docs, prefixes, ["rank"], id_col, text_col)
-    may = context.broadcast(bitmap(_repeated(first, "rank"), "rank"))
+    may_repeat = written(_repeated(_scan(docs, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
+    may = Sieve.of(may_repeat, "rank", map_bits)
 
     def stretches(ident, text):
         at, low, high = anchors(text, length, prefix)
@@ -152,117 +187,139 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
             return
         view = memoryview(text)
         rank = np.array([_rank(view[a : a + prefix]) for a in at.tolist()], "i8")
-        open_ = in_bitmap(may.value, rank)
+        open_ = _may(may, rank)
         at, low, high, rank = at[open_], low[open_], high[open_], rank[open_]
+        if not len(at):
+            return
         pairs = [_pair(view[a : b + length], (c - a) << 20 | b - a) for a, b, c in zip(low.tolist(), high.tolist(), at.tolist())]
         key = _doc_key(ident, text)
-        yield [key] * len(at), low.tolist(), high.tolist(), rank.tolist(), [p[0] for p in pairs], [p[1] for p in pairs], _mark(key, at).tolist()
+        yield [key] * len(at), at.tolist(), low.tolist(), high.tolist(), rank.tolist(), [p[0] for p in pairs], [p[1] for p in pairs], _mark(key, at).tolist()
 
-    second = written(_scan(docs, stretches, ["_doc", "low", "high", "rank", "left", "right", "mark"], id_col, text_col), "stretches")
-    marks = context.broadcast(bitmap(_open_classes(second, "rank"), "mark"))
+    second = _scan(docs, stretches, _DOC + _longs("at", "low", "high", "rank", "left", "right", "mark"), id_col, text_col)
+    second = written(second.join(may_repeat, "rank", "left_semi") if may is None else second, "stretches")
 
-    def contexts(batches):
-        for batch in batches_of(batches, 4_000_000):
-            out: list[list] = [[] for _ in range(5)]
-            for ident, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                at, low, high = anchors(text, length, prefix)
-                if not len(at):
-                    continue
-                view, key = memoryview(text), _doc_key(ident, text)
-                for k in np.flatnonzero(in_bitmap(marks.value, _mark(key, at))).tolist():
-                    for column, x in zip(out, (key, int(at[k]), int(low[k]), int(high[k]), bytes(view[low[k] : high[k] + length])), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["_doc", "anchor", "low", "high", "bytes"])
-
-    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    held = written(texts.mapInArrow(contexts, "_doc long, anchor long, low long, high long, bytes binary"), "contexts")
+    opened = written(_open_classes(second, "rank", "mark", "_doc", "at"), "open")
+    marks = Sieve.of(opened, "mark", map_bits)
+
+    # --- contexts: the bytes around the anchors that are still open, numbered as they are written
+    shape = _DOC + _longs("at", "low", "high") + [("bytes", "binary", pa.binary())]
+
+    def contexts(ident, text, *chosen):
+        at, low, high = anchors(text, length, prefix)
+        if not len(at):
+            return
+        key, view = _doc_key(ident, text), memoryview(text)
+        go = np.flatnonzero(np.isin(at, chosen[0])) if chosen else np.flatnonzero(_may(marks, _mark(key, at)))
+        go = go.tolist()
+        yield [key] * len(go), at[go].tolist(), low[go].tolist(), high[go].tolist(), [bytes(view[low[k] : high[k] + length]) for k in go]
+
+    if marks is None:
+        of_doc = opened.groupBy("_doc").agg(F.collect_set("at").alias("_at"))  # one document's anchors
+        held = _scan(_keyed(docs, id_col, text_col).join(of_doc, "_doc"), contexts, shape, "_id", "_text", ("_at",))
+    else:
+        held = _scan(docs, contexts, shape, id_col, text_col)
+    held = written(held.withColumn("context", F.monotonically_increasing_id()), "contexts")
 
     def blocks_of(at: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
         """(number, first, last): windows whose anchor lies number * block to number * block + block - 1 bytes behind their start."""
-        for number in range((at - high) // block, (at - low) // block + 1):
-            yield number, max(low, at - number * block - block + 1), min(high, at - number * block)
+        for n in range((at - high) // block, (at - low) // block + 1):
+            yield n, max(low, at - n * block - block + 1), min(high, at - n * block)
 
-    def shared(view: memoryview, at: int, low: int, number: int) -> int:
+    def shared(view: memoryview, at: int, low: int, n: int) -> int:
         """Rank of what all windows of a block have in common."""
-        near = at - number * block - low
-        return _rank(view[near : near - block + 1 + length]) ^ number
+        near = at - n * block - low
+        return _rank(view[near : near - block + 1 + length]) ^ n
+
+    def over_contexts(rows: DataFrame, per_context: Callable[..., Iterator[tuple]], names: tuple[str, ...], size: int = 4_000_000) -> DataFrame:
+        columns = ("context", "at", "low", "high", "bytes", *(c for c in rows.columns if c == "_numbers"))
+
+        def scanned(batches):
+            for batch in batches_of(batches, size):
+                out: list[list] = [[] for _ in names]
+                for context, at, low, high, part, *numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for row in per_context(context, at, low, high, memoryview(part), *numbers):
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=list(names))
 
-    def shared_ranks(batches):
-        for batch in batches_of(batches, 4_000_000):
-            out = []
-            for at, low, high, part in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                view = memoryview(part)
-                out += [shared(view, at, low, number) for number in range((at - high) // block, (at - low) // block + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["rank"])
+        return rows.select(*columns).mapInArrow(scanned, ", ".join(f"{n} long" for n in names))
 
-    may_share = context.broadcast(bitmap(_repeated(held.mapInArrow(shared_ranks, "rank long"), "rank"), "rank"))
+    def shared_ranks(context, at, low, high, view):
+        return ((shared(view, at, low, n),) for n in range((at - high) // block, (at - low) // block + 1))
 
-    def blocks(batches):
+    may_share = written(_repeated(over_contexts(held, shared_ranks, ("rank",)), "rank"), "ranks")
+    sharing = Sieve.of(may_share, "rank", map_bits)
+
+    def blocks(context, at, low, high, view):
         """For every block that may share its middle, the rank of that and the rank pair of the stretch it covers."""
-        for batch in batches_of(batches, 4_000_000):
-            out: list[list] = [[] for _ in range(7)]
-            keys, ats, lows, highs, parts = (c.to_pylist() for c in batch.columns)
-            for key, at, low, high, part in zip(keys, ats, lows, highs, parts, strict=True):
-                view, own = memoryview(part), list(blocks_of(at, low, high))
-                ranks = [shared(view, at, low, number) for number, _, _ in own]
-                for (number, a, b), rank, open_ in zip(own, ranks, in_bitmap(may_share.value, np.array(ranks)).tolist(), strict=True):
-                    if open_:
-                        pair = _pair(view[a - low : b - low + length], number << 32 | (at - a) << 16 | b - a)
-                        for column, x in zip(out, (key, a, b, rank, *pair, at << 6 | number), strict=True):
-                            column.append(x)
-            out[6] = _mark(out[0], out[6])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["_doc", "low", "high", "rank", "left", "right", "mark"])
+        own = list(blocks_of(at, low, high))
+        ranks = [shared(view, at, low, n) for n, _, _ in own]
+        for (n, a, b), rank, open_ in zip(own, ranks, _may(sharing, ranks).tolist(), strict=True):
+            if open_:
+                yield context, n, a, b, rank, *_pair(view[a - low : b - low + length], n << 32 | (at - a) << 16 | b - a), int(_mark([context], [n])[0])
 
-    third = written(held.mapInArrow(blocks, "_doc long, low long, high long, rank long, left long, right long, mark long"), "blocks")
-    open_blocks = context.broadcast(bitmap(_open_classes(third, "rank"), "mark"))
+    third = over_contexts(held, blocks, ("context", "number", "low", "high", "rank", "left", "right", "mark"))
+    third = written(third.join(may_share, "rank", "left_semi") if sharing is None else third, "blocks")
 
-    def windows(batches):
+    open_blocks = written(_open_classes(third, "rank", "mark", "context", "number"), "open")
+    some = Sieve.of(open_blocks, "mark", map_bits)
+
+    def windows(context, at, low, high, view, numbers=None):
         """Single windows of the blocks still open."""
-        for batch in batches_of(batches, 1_000_000):
-            out: list[list] = [[] for _ in range(4)]
-            for key, at, low, high, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                view = memoryview(part)
-                numbers = list(blocks_of(at, low, high))
-                open_ = in_bitmap(open_blocks.value, _mark(key, [at << 6 | x[0] for x in numbers]))
-                for (_, a, b), go in zip(numbers, open_.tolist(), strict=True):
-                    for p in range(a, b + 1) if go else ():
-                        for column, x in zip(out, (key, p, *_pair(view[p - low : p - low + length], at - p)), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["_doc", "low", "left", "right"])
+        own = list(blocks_of(at, low, high))
+        go = [n in numbers for n, _, _ in own] if numbers is not None else _may(some, _mark([context] * len(own), [n for n, _, _ in own])).tolist()
+        for (_, a, b), open_ in zip(own, go, strict=True):
+            for p in range(a, b + 1) if open_ else ():
+                yield context, p, *_pair(view[p - low : p - low + length], at - p)
+
+    left = held if some is not None else held.join(open_blocks.groupBy("context").agg(F.collect_set("number").alias("_numbers")), "context")
+    fourth = over_contexts(left, windows, ("context", "low", "left", "right"), 1_000_000)
+    fourth = written(fourth.withColumn("high", F.col("low")), "windows")
 
-    fourth = written(held.mapInArrow(windows, "_doc long, low long, left long, right long").withColumn("high", F.col("low")), "windows")
     spans = None
+    names = held.select("context", "_doc")
     for level in (second, third, fourth):
         same = written(_repeated(level, "left", "right"), "repeated")  # written, so that the join may be split where a pair is frequent
-        found = level.join(same, ["left", "right"], "left_semi").select("_doc", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
+        found = level.join(same, ["left", "right"], "left_semi")
+        found = found if "_doc" in level.columns else found.join(names, "context")
+        found = found.select("_doc", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
         spans = found if spans is None else spans.unionByName(found)
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, sieve: Broadcast | None = None, wanted: bool = True) -> DataFrame:
+    """(_id, _text as bytes, _doc) of the documents; with a sieve, of those that it lets through, or of the others."""
+    from xxhash import xxh64_intdigest
+
+    def keyed(batches):
+        for batch in batches_of(batches):
+            rows = text_bytes(batch.column(1))
+            keys = [_doc_key(i, t) for i, t in zip(batch.column(0).to_pylist(), rows, strict=True)]
+            hit = np.arange(len(rows))
+            if sieve is not None:
+                hit = np.flatnonzero(_may(sieve, np.array([xxh64_intdigest(k, 42) for k in keys], "u8").view("i8")) == wanted)
+            if len(hit):
+                chosen = hit.tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([rows[k] for k in chosen], pa.binary()), pa.array([keys[k] for k in chosen], pa.binary())], names=["_id", "_text", "_doc"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(keyed, f"_id {kind}, _text binary, _doc binary")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, spans (removed, merged: array of start and stop byte), kept (binary).
 
     Texts are UTF-8 bytes, null counts as empty; strings do not reach over documents. A text shorter than ``length``
-    loses nothing. Repeated rows are documents of their own, so they repeat each other. Spans may cut characters: what
-    is kept is bytes. Texts without spans never leave their scan.
+    loses nothing. Repeated rows are documents of their own, so they repeat each other; null and repeated ids are ids
+    like others. Spans may cut characters: what is kept is bytes. Texts without spans never leave their scan, unless
+    the documents with spans are too many for a sieve.
     """
-    spans = written(repeated_spans(docs, length, prefix, block, id_col, text_col), "spans")
-    cut = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "_doc"))
+    spans = repeated_spans(docs, length, prefix, block, id_col, text_col, map_bits)
+    of_doc = written(spans.groupBy("_doc").agg(F.collect_list(F.struct("start", "stop")).alias("_found")), "spans")  # one document's spans
+    cut = Sieve.of(of_doc.select(F.xxhash64("_doc").alias("number")), "number", map_bits)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(docs[id_col], docs[text_col].cast("string").alias("_text"))
     removed = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-    def chosen(wanted: bool):
-        def choose(batches):
-            for batch in batches_of(batches):
-                idents, rows = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-                keys = np.array([_doc_key(i, t) for i, t in zip(idents, rows, strict=True)], "i8")
-                hit = np.flatnonzero(in_bitmap(cut.value, keys) == wanted)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(keys[hit]), pa.array([rows[k] for k in hit.tolist()], pa.binary())], names=[id_col, "_doc", "_bytes"])
-
-        return texts.mapInArrow(choose, f"`{id_col}` {kind}, _doc long, _bytes binary")
-
     def shorten(batches):
         for batch in batches_of(batches):
             merged, kept, sizes = [], [], []
@@ -283,10 +340,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, removed), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
     shape = f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
-    of_doc = spans.groupBy("_doc").agg(F.collect_list(F.struct("start", "stop")).alias("_found"))  # one document's spans
-    touched = chosen(True).join(of_doc, "_doc", "left").select(id_col, "_bytes", "_found").mapInArrow(shorten, shape)
-    plain = chosen(False).select(id_col, F.octet_length("_bytes").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.col("_bytes").alias("kept"))
-    return touched.unionByName(plain)
+    touched = _keyed(docs, id_col, text_col, cut).join(of_doc, "_doc", "left").select("_id", "_text", "_found").mapInArrow(shorten, shape)
+    if cut is None:
+        return touched
+    plain = _keyed(docs, id_col, text_col, cut, wanted=False)
+    return touched.unionByName(plain.select(F.col("_id").alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.col("_text").alias("kept")))
+
+
+def doubled_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, start, stop): the spans to remove, by prefix doubling over every byte position.
+
+    The rank of a string of one byte is the byte. A round pairs the rank at a position with that at the offset of its
+    length, sorts the pairs that occur more than once and numbers them in that order: the ranks of strings twice as
+    long. Positions that are unique, or whose longer string would leave the document, are out. The last round overlaps,
+    so that the length is met. Built of DataFrame functions alone.
+    """
+    texts = docs.select(F.col(id_col), F.hex(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8")).alias("_hex"))
+    texts = written(texts.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    size = (F.length("_hex") / 2).cast("int")
+    byte = lambda k: F.conv(F.substring(F.col("_hex"), 2 * k + 1, F.lit(2)), 16, 10).cast("long")
+    every = F.transform(F.sequence(F.lit(0), size - 1), byte)
+    ranks = written(texts.where(size >= length).select("_row", F.posexplode(every).alias("at", "rank")), "ranks")
+    reached = 1
+    while reached < length:
+        step = min(reached, length - reached)
+        after = ranks.select("_row", (F.col("at") - step).alias("at"), F.col("rank").alias("after"))
+        pairs = written(ranks.join(after, ["_row", "at"]), "pairs")
+        order = _repeated(pairs, "rank", "after").orderBy("rank", "after").withColumn("_new", F.monotonically_increasing_id())
+        ranks = written(pairs.join(written(order, "order"), ["rank", "after"]).select("_row", "at", F.col("_new").alias("rank")), "ranks")
+        reached += step
+    return ranks.join(texts.select("_row", id_col), "_row").select(id_col, "_row", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
