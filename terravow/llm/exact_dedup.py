@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import shuffle_width, table, written
@@ -23,6 +23,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 _KEY = ["_digest", "_check", "_size"]
 
 
+def normalised(text: Column) -> Column:
+    """The text that is compared: white space runs are one space, null is empty."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ")
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bits: int | None = None, radix_bits: int = 3) -> DataFrame:
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256.
 
@@ -34,8 +39,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     if run_bits is None:
         run_bits = math.ceil(math.log2(4 * shuffle_width(spark)))
     rounds = max(1, math.ceil(run_bits / radix_bits))
-    norm = F.regexp_replace(F.coalesce(df[text_col].cast("string"), F.lit("")), SPACE, " ")
-    rows = df.select(df[id_col].alias("_id"), norm.alias("_norm"))
+    rows = df.select(df[id_col].alias("_id"), normalised(df[text_col]).alias("_norm"))
     rows = rows.select(
         "_id",
         F.shiftrightunsigned(F.xxhash64("_id"), 64 - rounds * radix_bits).cast("int").alias("_run"),

@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -55,15 +55,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, step: int
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``_fp``; a null text has no words."""
+    """id, ``_text_key`` (a hash of the text as it is) and ``_fp``; a null text has no words."""
 
     def hashed(batches):
         for batch in batches_of(batches):
             fps = pa.array([fingerprint(t) for t in text_bytes(batch.column(1))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=[id_col, "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], names=[id_col, "_text_key", "_fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(hashed, f"`{id_col}` {kind}, _fp long")
+    text = df[text_col].cast("string")
+    return df.select(df[id_col], text, text_key(text)).mapInArrow(hashed, f"`{id_col}` {kind}, _text_key long, _fp long")
+
+
+def text_key(text: Column) -> Column:
+    """Tells apart rows that repeat an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 class Golay:
@@ -199,7 +205,10 @@ def edges_of(keyed: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def simhash_components(df: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, fingerprint, component_id.
+    """One row per row of ``df``: id, fingerprint, component_id, and beside them root and text_key.
+
+    ``root`` names the component by its smallest fingerprint, which tells apart components that share a smallest id
+    where ids repeat; ``text_key`` is the :func:`text_key` of the row's text.
 
     Fingerprints within ``distance`` bits (at most 4) are linked, fingerprint zero like any other; component_id is the
     smallest id reachable. Rows with a null id take part; they only give a component its id where all its ids are null.
@@ -226,9 +235,11 @@ def simhash_components(df: DataFrame, distance: int = DISTANCE, id_col: str = "d
     edges = edges_of(keys.repartition(width, "_key").sortWithinPartitions("_key"), distance)
     linked = components(edges, "a", "b")
     rooted = classes.join(linked, classes["_fp"] == linked["node"], "left").select("_fp", "_rep", F.coalesce("root", "_fp").alias("_root"))
-    smallest = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    label = rooted.select("_fp", "_root").join(smallest, "_root").select("_fp", "component_id")
-    return marked.join(label, "_fp").select(F.col(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(rooted, "rooted")
+    smallest = written(rooted.groupBy("_root").agg(F.min("_rep").alias("component_id")), "smallest")  # written, so that the join may be split at a giant component
+    label = rooted.select("_fp", "_root").join(smallest, "_root").select("_fp", "_root", "component_id")
+    hexed = F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint")
+    return marked.join(label, "_fp").select(F.col(id_col), hexed, "component_id", F.col("_root").alias("root"), F.col("_text_key").alias("text_key"))
 
 
 def _in_blocks(keys: DataFrame, large: list[tuple[int, int]]) -> DataFrame:
@@ -242,4 +253,4 @@ def _in_blocks(keys: DataFrame, large: list[tuple[int, int]]) -> DataFrame:
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
