@@ -1,12 +1,14 @@
 """Main-text extraction from web pages by minimum-cut labelling.
 
-A page is read once into text blocks, each with its chain of open elements. A logistic classifier over the block's
-elements, their class and id words, link share, length and punctuation gives a cost for calling the block content and
-one for calling it boilerplate; these are its capacities to the two terminals. Neighbours in page order, and successive
-blocks under one parent, are joined by smoothness edges whose capacity falls with their distance in the element tree.
+A page is read once into text blocks and the tree of elements around them; both are nodes of one graph. A logistic
+classifier gives each node a cost for either label, its capacities to the two terminals: a block's comes from its own
+text (length, punctuation, share of links, kind of its element), an element's from its name, class and id words, for
+every block that it holds. Smoothness edges join an element to its parent and a block to its element, neighbours in
+page order by their distance in the tree, and successive blocks under one parent. A block's own evidence is weaker than
+the edge to its element, so a paragraph among the comments or a bare line of the article gets its label by the cut.
 The minimum cut between the terminals is the labelling of least total cost; blocks on the content side are the text.
-Blocks whose terminal capacity outweighs all their edges are decided beforehand, which changes no minimum; the rest
-goes through maximum flow.
+Nodes whose terminal capacity outweighs all their edges are decided beforehand, which changes no minimum, and their
+edges then weigh on their neighbours; what is left goes through maximum flow.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from .shared import batches_of, table, text_bytes
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: Elements whose inside is no markup, up to their end tag.
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math select button object audio video canvas datalist".split())
+#: Elements whose inside is no markup or part of a form, up to their end tag.
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes select button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split()
@@ -43,20 +45,22 @@ HERE = frozenset("article articlebody body content entry main post story text pr
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open paragraph outside of these is not closed from within.
 WALLS = BLOCKS - HEADINGS - {"p"}
+#: Weight of a block's own evidence, of the edges of the tree, and of the edges between blocks.
+OWN, HOLD, NEAR = 0.4, 2.0, 0.6
 
 
 @dataclass
 class Block:
     text: str
-    chain: tuple[int, ...]  # ids of open block elements, outermost first
-    score: float  # log-odds of being content
+    chain: tuple[int, ...]  # ids of the open elements that count, outermost first
+    score: float  # log-odds of being content, by its own text
 
 
 @dataclass
 class _Open:
     name: str
     ident: int
-    lean: float
+    lean: float  # log-odds of what it holds being content
     within: bool  # in an article or main element
 
 
@@ -78,9 +82,10 @@ def _lean(name: str, attributes: str, within: bool) -> float:
     return lean
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page in page order."""
+def blocks_of(page: str) -> tuple[list[Block], dict[int, float]]:
+    """Text blocks of a page in page order, and the log-odds of the elements in their chains."""
     found: list[Block] = []
+    leans: dict[int, float] = {}
     stack: list[_Open] = []
     places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name on the stack
     parts: list[str] = []
@@ -90,8 +95,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            blocks = [e for e in stack if e.name in BLOCKS]
-            found.append(Block(text, tuple(e.ident for e in blocks), _score(text, min(1.0, linked / len(text)), stack)))
+            chain = [e for e in stack if e.lean or e.name in BLOCKS]
+            leans.update((e.ident, e.lean) for e in chain)
+            found.append(Block(text, tuple(e.ident for e in chain), _score(text, min(1.0, linked / len(text)), stack)))
         parts.clear()
         linked = 0
 
@@ -158,11 +164,11 @@ def blocks_of(page: str) -> list[Block]:
         within = bool(stack and stack[-1].within)
         stack.append(_Open(name, made, _lean(name, attributes, within), within or name in ("article", "main")))
     flush()
-    return found
+    return found, leans
 
 
 def _score(text: str, link_share: float, stack: list[_Open]) -> float:
-    score = -0.5 + sum(e.lean for e in stack) - 4.0 * link_share
+    score = -0.5 - 4.0 * link_share
     score += min(2.0, len(text) / 80) + (0.7 if text[-1] in ".!?…:\"”»" else -0.3)
     inner = next((e.name for e in reversed(stack) if e.name in BLOCKS), "")
     if inner in HEADINGS:
@@ -172,9 +178,24 @@ def _score(text: str, link_share: float, stack: list[_Open]) -> float:
     return score
 
 
-def edges_of(blocks: list[Block], base: float = 1.2) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in page order, and successive blocks with one parent."""
-    edges, last = [], {}
+def graph_of(blocks: list[Block], leans: dict[int, float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of all nodes, the blocks first, and the edges between them."""
+    unary = [OWN * b.score for b in blocks]
+    node: dict[int, int] = {}
+    edges: dict[tuple[int, int], float] = {}
+    for i, block in enumerate(blocks):
+        above = -1
+        for ident in block.chain:
+            at = node.setdefault(ident, len(unary))
+            if at == len(unary):
+                unary.append(0.0)
+                if above >= 0:
+                    edges[above, at] = HOLD
+            unary[at] += leans[ident]
+            above = at
+        if above >= 0:
+            edges[i, above] = HOLD
+    last: dict[tuple[int, ...], int] = {}
     for i, block in enumerate(blocks):
         if i:
             a, b = blocks[i - 1].chain, block.chain
@@ -183,12 +204,12 @@ def edges_of(blocks: list[Block], base: float = 1.2) -> list[tuple[int, int, flo
                 if x != y:
                     break
                 shared += 1
-            edges.append((i - 1, i, base / (1 + len(a) - shared + len(b) - shared)))
+            edges[i - 1, i] = NEAR / (1 + len(a) - shared + len(b) - shared)
         parent = block.chain[-2:-1]
         if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, base / 3))
+            edges[last[parent], i] = NEAR / 3
         last[parent] = i
-    return edges
+    return unary, [(a, b, capacity) for (a, b), capacity in edges.items()]
 
 
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -222,32 +243,44 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
 
 
 def _max_flow(flow: dict[int, dict[int, float]], source: int, sink: int) -> set[int]:
-    """Shortest augmenting paths until none is left; the nodes then reachable from the source."""
+    """Blocking flows over the shortest paths, until there is none; the nodes then reachable from the source."""
     while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             i = queue.popleft()
             for j, left in flow[i].items():
-                if left > 1e-12 and j not in before:
-                    before[j] = i
+                if left > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in before:
-            return set(before)
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        least = min(flow[i][j] for i, j in path)
-        for i, j in path:
-            flow[i][j] -= least
-            flow[j][i] += least
+        if sink not in level:
+            return set(level)
+        ahead = {i: list(flow[i]) for i in level}  # edges not yet given up, the last first
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:]))
+                least = min(flow[a][b] for a, b in steps)
+                for a, b in steps:
+                    flow[a][b] -= least
+                    flow[b][a] += least
+                del path[next(k for k, (a, b) in enumerate(steps) if flow[a][b] <= 1e-12) + 1 :]
+                continue
+            while ahead[i] and not (flow[i][ahead[i][-1]] > 1e-12 and level.get(ahead[i][-1]) == level[i] + 1):
+                ahead[i].pop()
+            if ahead[i]:
+                path.append(ahead[i][-1])
+            else:
+                path.pop()
+                if path:
+                    ahead[path[-1]].pop()
 
 
 def main_text(page: str) -> str:
     """The article of a page, its blocks joined by newlines; empty if there is none."""
-    blocks = blocks_of(page)
-    labels = minimum_cut([b.score for b in blocks], edges_of(blocks))
-    return "\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
+    blocks, leans = blocks_of(page)
+    labels = minimum_cut(*graph_of(blocks, leans))
+    return "\n".join(b.text for b, keep in zip(blocks, labels) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -338,9 +338,38 @@ def test_minimum_cut_is_minimal(seed):
     assert abs(cost(html_extract.minimum_cut(unary, edges)) - best) < 1e-9
 
 
-@pytest.mark.parametrize("depth", [3, 198, 199, 5000])
+@pytest.mark.parametrize("depth", [3, 198, 199, 10000])
 def test_html_closes_across_any_depth(depth):
     article = "<article><p>The first paragraph of the article is long enough to be kept.</p><p>So is the second one, which follows.</p></article>"
-    blocks = html_extract.blocks_of("<nav>" + "<b>" * depth + "Menu</nav>" + article)
+    blocks, leans = html_extract.blocks_of("<nav>" + "<b>" * depth + "Menu</nav>" + article)
     assert [b.text[:9] for b in blocks] == ["Menu", "The first", "So is the"]
     assert [len(b.chain) for b in blocks] == [1, 2, 2]
+
+
+def test_html_blocks_by_their_surroundings():
+    """Blocks whose own text speaks for the other label."""
+    prose = "This is a sentence of prose that by itself looks like an article, and it is long."
+    page = f"<article><p>{prose}</p><div>Three</div><p><a href=x>Only a link</a></p><p>{prose}</p></article><section class=comments><div><p>{prose}</p><p>{prose}</p></div></section>"
+    blocks, leans = html_extract.blocks_of(page)
+    labels = html_extract.minimum_cut(*html_extract.graph_of(blocks, leans))[: len(blocks)]
+    assert labels == [True] * 4 + [False] * 2
+    assert [b.score > 0 for b in blocks] == [True, False, False, True, True, True]
+
+
+def test_html_labels_are_minimal_on_small_pages():
+    pages = ["<nav><a>x</a></nav><div><p>One two three.</p><p>y</p></div>", "<div><p>Some words here, yes.</p><div class=share><p>Share this.</p></div></div>", "<main><h1>T</h1><form><p>Your name, please.</p></form>end</main>"]
+    for page in pages:
+        unary, edges = html_extract.graph_of(*html_extract.blocks_of(page))
+        cost = lambda x: sum(max(0, -u) if k else max(0, u) for u, k in zip(unary, x, strict=True)) + sum(c for i, j, c in edges if x[i] != x[j])  # noqa: B023, E731
+        best = min(cost([m >> i & 1 == 1 for i in range(len(unary))]) for m in range(1 << len(unary)))
+        assert abs(cost(html_extract.minimum_cut(unary, edges)) - best) < 1e-9
+
+
+def test_html_keeps_all_of_the_article():
+    page = "<article><p>Let <math><mi>x</mi></math> be given, and <svg><text>y</text></svg> too.</p><object>z</object><form><button>Send</button><select><option>a</option></select></form></article>"
+    assert html_extract.main_text(page) == "Let x be given, and y too.\nz"
+
+
+def test_html_long_mixed_page():
+    page = "<div>" + "".join(f"<p>{'A sentence with some words, number %d.' % k if k % 3 else '<a href=x>link</a>'}</p>" for k in range(10000)) + "</div>"
+    assert html_extract.main_text(page).count("\n") >= 6000
