@@ -3,8 +3,8 @@
 A page is read once into text blocks and the tree of elements around them; both are nodes of one graph. A logistic
 classifier gives each node a cost for either label, its capacities to the two terminals: a block's comes from its own
 text (length, punctuation, share of links, kind of its element), an element's from its name, class and id words, for
-every block that it holds. Smoothness edges join an element to its parent and a block to its element, neighbours in
-page order by their distance in the tree, and successive blocks under one parent. A block's own evidence is weaker than
+every block that it holds. Smoothness edges join a block or element to the nearest element around it that says
+something, neighbours in page order by their distance in the tree, and successive blocks under one parent. A block's own evidence is weaker than
 the edge to its element, so a paragraph among the comments or a bare line of the article gets its label by the cut.
 The minimum cut between the terminals is the labelling of least total cost; blocks on the content side are the text.
 Nodes whose terminal capacity outweighs all their edges are decided beforehand, which changes no minimum, and their
@@ -185,7 +185,7 @@ def graph_of(blocks: list[Block], leans: dict[int, float]) -> tuple[list[float],
     edges: dict[tuple[int, int], float] = {}
     for i, block in enumerate(blocks):
         above = -1
-        for ident in block.chain:
+        for ident in filter(leans.get, block.chain):  # an element that says nothing ties nothing together
             at = node.setdefault(ident, len(unary))
             if at == len(unary):
                 unary.append(0.0)
