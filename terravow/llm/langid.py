@@ -177,10 +177,21 @@ _NO_LETTER = bytes(i for i in range(256) if not (i < 128 and chr(i).isalpha()))
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[Network | None, list[str]]:
-    """The network and its languages, from at most ``per_lang`` documents of each language outside the held-out fold."""
+    """The network and its languages, from at most ``per_lang`` documents of each language outside the held-out fold.
+
+    They are those of the smallest id hashes. Of more than ``LANGS`` languages the most frequent are learned, of equally
+    frequent ones the first by name.
+    """
     known = docs.where((crc_part(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    sizes = known.groupBy(F.col("lang").cast("string").alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(LANGS).collect()
+    if not sizes:
+        return None, []
+    # ids are hashed; below its bound lie half as many again as are wanted of a language, so few rows are ranked
+    share = [(r["_lang"], min(1.0, (1.5 * per_lang + 64) / r["count"])) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame([(k, min(int(x * 2**64) - 2**63, 2**63 - 1)) for k, x in share], "_lang string, _bound long")
+    near = known.select(F.col("doc_id").alias("_sampled"), F.col("lang").cast("string").alias("_lang")).join(F.broadcast(bounds), "_lang").where(F.xxhash64("_sampled") <= F.col("_bound"))
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_sampled"), "_sampled"))
-    sample = known.select(F.col("doc_id").alias("_sampled"), F.col("lang").alias("_lang")).withColumn("_nth", nth).where(F.col("_nth") <= per_lang).limit(per_lang * LANGS)
+    sample = near.withColumn("_nth", nth).where(F.col("_nth") <= per_lang).select("_sampled", "_lang")
     joined = known.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_sampled"))
 
     def windows(batches):

@@ -9,9 +9,12 @@ carries the change of the token count, which may be negative where a character c
 
 A batch of texts is one array of characters cut into chunks. Where two neighbouring characters are adjacent in no
 piece, no merge can cross, and the state behind them does not depend on what came before: from its first such place on,
-a chunk's state map is constant. All constant tails run in lockstep through the transition table; their exit states
-then feed the heads of the chunks after them, and chunks without such a place are composed one after another. Counts
-are sums of the transitions' changes over a text's characters.
+a chunk's state map is constant. All constant tails run in lockstep through the transition table. Chunks without such
+a place get maps from the states that can reach them: the exits of constant chunks, and what the maps themselves lead
+to. A parallel prefix scan composes the maps of neighbours in doubling distances, which gives every chunk its entry
+state, and all that is left runs in lockstep once more. Counts are sums of the transitions' changes over a text's
+characters. Where more than ``STATES`` states can be reached, maps cost more than walking, and the chunks follow each
+other; the counts are the same.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .shared import batches_of, table, text_bytes
 
 LIMIT = 4096
 CHUNK = 192
+#: Entry states up to which the maps of chunks are built, and chunks from which on they are worth it.
+STATES, SCANNED = 24, 8
 #: Transitions a worker keeps from batch to batch; beyond, the compiled part is dropped and built anew. Within a batch
 #: the table grows as needed.
 TRANSITIONS = 1 << 20
@@ -209,6 +214,29 @@ class Transducer:
             at = at + 1 & len(self.keys) - 1
         return int(self.next[at]), int(self.change[at])
 
+    def scan(self, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, exits: np.ndarray, chunks: np.ndarray) -> None:
+        """Fills in the exits of ``chunks``, which have no free place; the chunks before runs of them have theirs."""
+        first = np.concatenate(([True], np.diff(chunks) > 1))
+        new = np.unique(exits[chunks[first] - 1])
+        states, maps, scratch = np.zeros(0, "i8"), np.zeros((len(chunks), 0), "i8"), np.zeros(len(codes), "i1")
+        while len(new):
+            if len(states) + len(new) > STATES:
+                return
+            lanes = np.repeat(chunks, len(new))
+            out = self.run(codes, scratch, starts[lanes], stops[lanes], np.tile(new, len(chunks)))
+            states, maps = np.concatenate((states, new)), np.hstack((maps, out.reshape(len(chunks), -1)))
+            new = np.setdiff1d(out, states)
+        order = np.argsort(states)
+        maps = order[np.searchsorted(states, maps, sorter=order)]  # from place to place in ``states``
+        place, step = np.arange(len(chunks)), 1
+        begins = np.maximum.accumulate(np.where(first, place, 0))
+        while step < len(chunks):
+            open_ = np.flatnonzero(place - step >= begins)
+            maps[open_] = np.take_along_axis(maps[open_], maps[open_ - step], axis=1)
+            step *= 2
+        entry = order[np.searchsorted(states, exits[chunks[begins] - 1], sorter=order)]
+        exits[chunks] = states[maps[place, entry]]
+
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
         if self.used > TRANSITIONS or len(self.states) > 1 << 22:
@@ -235,7 +263,9 @@ class Transducer:
         # The tails of constant chunks: from a free place on, as from the state before a text.
         exits[known] = self.run(codes, changes, cut[known], stops[known], np.zeros(len(known), "i8"))
         head = np.where(constant, cut, stops)
-        waiting = np.flatnonzero(head > starts)
+        waiting, mapped = np.flatnonzero(head > starts), np.flatnonzero(~constant)
+        if len(mapped) >= SCANNED:
+            self.scan(codes, starts, stops, exits, mapped)
         while len(waiting):
             ready = exits[waiting - 1] >= 0
             now = waiting[ready]

@@ -195,6 +195,20 @@ def test_token_counts(spark, docs, texts, nothing):
     assert token_count.token_counts(nothing, path).count() == 0
 
 
+def test_long_texts_without_a_free_place(monkeypatch):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    transducer, model = token_count.compiled(path), SentencePieceProcessor(model_file=path)
+    random.seed(6)
+    texts = ["a" * 3_000_000, "ab" * 200_000, "".join(random.choices("ab", k=60_000)), "the " * 5000 + "e" * 90_000, "x", "étéét" * 20_000]
+    expected = [len(model.encode(t)) for t in texts]
+    assert transducer.counts([t.encode() for t in texts]).tolist() == expected
+    monkeypatch.setattr(token_count, "STATES", 1)
+    assert transducer.counts([t.encode() for t in texts[1:]]).tolist() == expected[1:]
+
+
 def test_transducer_survives_forgetting():
     import public_tokenizers
 
@@ -296,6 +310,14 @@ def test_learned_operators_on_odd_rows(spark, docs, nothing, texts):
     assert langid.language_labels(nothing).count() == 0
 
 
+def test_language_sample_is_ranked_within_bounds(spark):
+    rows = [(k, "der die das und " * 4 if k % 5 else "the and of to " * 4, "de" if k % 5 else "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.language_labels(docs, per_lang=40).collect()
+    assert np.mean([(r["lang_pred"] == "de") == (r["doc_id"] % 5 > 0) for r in found]) > 0.95
+    assert sorted(found) == sorted(langid.language_labels(docs.repartition(7), per_lang=40).collect())
+
+
 def test_gru_gradients():
     random_ = np.random.default_rng(0)
     d = langid.Direction(*(random_.normal(size=s).astype("f8") * 0.4 for s in ((256, 9), (3, 6), (3, 3))))
