@@ -230,33 +230,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         near = at - n * block - low
         return _rank(view[near : near - block + 1 + length]) ^ n
 
-    def over_contexts(rows: DataFrame, per_context: Callable[..., Iterator[tuple]], names: tuple[str, ...], size: int = 4_000_000) -> DataFrame:
+    def over_contexts(rows: DataFrame, per_batch: Callable[..., list], names: tuple[str, ...], size: int = 4_000_000) -> DataFrame:
+        """Rows of longs made from a batch of contexts: ``per_batch`` returns a sequence of values a column."""
         columns = ("context", "at", "low", "high", "bytes", *(c for c in rows.columns if c == "_numbers"))
 
         def scanned(batches):
             for batch in batches_of(batches, size):
-                out: list[list] = [[] for _ in names]
-                for context, at, low, high, part, *numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for row in per_context(context, at, low, high, memoryview(part), *numbers):
-                        for column, x in zip(out, row, strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=list(names))
+                context, at, low, high, parts, *numbers = (c.to_pylist() for c in batch.columns)
+                made = per_batch(context, at, low, high, [memoryview(x) for x in parts], *numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=list(names))
 
         return rows.select(*columns).mapInArrow(scanned, ", ".join(f"{n} long" for n in names))
 
-    def shared_ranks(context, at, low, high, view):
-        return ((shared(view, at, low, n),) for n in range((at - high) // block, (at - low) // block + 1))
+    def shared_ranks(context, at, low, high, views):
+        return [[shared(view, c, a, n) for c, a, b, view in zip(at, low, high, views, strict=True) for n in range((c - b) // block, (c - a) // block + 1)]]
 
     may_share = written(_repeated(over_contexts(held, shared_ranks, ("rank",)), "rank"), "ranks")
     sharing = Sieve.of(may_share, "rank", map_bits)
 
-    def blocks(context, at, low, high, view):
+    def blocks(context, at, low, high, views):
         """For every block that may share its middle, the rank of that and the rank pair of the stretch it covers."""
-        own = list(blocks_of(at, low, high))
-        ranks = [shared(view, at, low, n) for n, _, _ in own]
-        for (n, a, b), rank, open_ in zip(own, ranks, _may(sharing, ranks).tolist(), strict=True):
-            if open_:
-                yield context, n, a, b, rank, *_pair(view[a - low : b - low + length], n << 32 | (at - a) << 16 | b - a), int(_mark([context], [n])[0])
+        own = [(k, n, a, b) for k in range(len(at)) for n, a, b in blocks_of(at[k], low[k], high[k])]
+        ranks = [shared(views[k], at[k], low[k], n) for k, n, _, _ in own]
+        go = np.flatnonzero(_may(sharing, ranks)).tolist()
+        own, ranks = [own[i] for i in go], [ranks[i] for i in go]
+        pairs = [_pair(views[k][a - low[k] : b - low[k] + length], n << 32 | (at[k] - a) << 16 | b - a) for k, n, a, b in own]
+        of, numbers = [context[k] for k, *_ in own], [n for _, n, _, _ in own]
+        return [of, numbers, [a for *_, a, _ in own], [b for *_, b in own], ranks, [p[0] for p in pairs], [p[1] for p in pairs], _mark(of, numbers)]
 
     third = over_contexts(held, blocks, ("context", "number", "low", "high", "rank", "left", "right", "mark"))
     third = written(third.join(may_share, "rank", "left_semi") if sharing is None else third, "blocks")
@@ -264,13 +264,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     open_blocks = written(_open_classes(third, "rank", "mark", "context", "number"), "open")
     some = Sieve.of(open_blocks, "mark", map_bits)
 
-    def windows(context, at, low, high, view, numbers=None):
+    def windows(context, at, low, high, views, numbers=None):
         """Single windows of the blocks still open."""
-        own = list(blocks_of(at, low, high))
-        go = [n in numbers for n, _, _ in own] if numbers is not None else _may(some, _mark([context] * len(own), [n for n, _, _ in own])).tolist()
-        for (_, a, b), open_ in zip(own, go, strict=True):
-            for p in range(a, b + 1) if open_ else ():
-                yield context, p, *_pair(view[p - low : p - low + length], at - p)
+        own = [(k, n, a, b) for k in range(len(at)) for n, a, b in blocks_of(at[k], low[k], high[k])]
+        go = [n in numbers[k] for k, n, _, _ in own] if numbers is not None else _may(some, _mark([context[k] for k, *_ in own], [n for _, n, _, _ in own])).tolist()
+        single = [(k, p) for (k, _, a, b), open_ in zip(own, go, strict=True) if open_ for p in range(a, b + 1)]
+        pairs = [_pair(views[k][p - low[k] : p - low[k] + length], at[k] - p) for k, p in single]
+        return [[context[k] for k, _ in single], [p for _, p in single], [p[0] for p in pairs], [p[1] for p in pairs]]
 
     left = held if some is not None else held.join(open_blocks.groupBy("context").agg(F.collect_set("number").alias("_numbers")), "context")
     fourth = over_contexts(left, windows, ("context", "low", "left", "right"), 1_000_000)
