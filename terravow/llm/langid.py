@@ -156,6 +156,8 @@ def document_probabilities(net: Network, texts: list[bytes], length: int = LENGT
         for at in range(low, high, lanes):
             rows = whole[at : min(high, at + lanes)]
             steps = np.ascontiguousarray(view[base[owner[rows]] + starts[rows]].T)
+            if low == n_whole:  # what lies behind a text's end is blank, as in training, whatever text comes next
+                steps[np.arange(length)[:, None] >= fill[rows]] = ord(" ")
             p = net.logits(steps)
             p -= p.max(axis=2, keepdims=True)
             np.exp(p, out=p)

@@ -318,6 +318,15 @@ def test_language_sample_is_ranked_within_bounds(spark):
     assert sorted(found) == sorted(langid.language_labels(docs.repartition(7), per_lang=40).collect())
 
 
+def test_pooled_probabilities_do_not_depend_on_neighbours():
+    random.seed(9)
+    net = langid.train(np.frombuffer(random.randbytes(64 * 40), "u1").reshape(-1, 64) % 90 + 32, np.arange(40) % 3, 3)
+    texts = [random.randbytes(k) for k in (1, 5, 63, 64, 65, 200, 1000, 3)]
+    together = langid.document_probabilities(net, texts)
+    assert np.allclose(together, [langid.document_probabilities(net, [t])[0] for t in texts], atol=1e-6)
+    assert np.allclose(together.sum(axis=1), 1, atol=1e-5)
+
+
 def test_gru_gradients():
     random_ = np.random.default_rng(0)
     d = langid.Direction(*(random_.normal(size=s).astype("f8") * 0.4 for s in ((256, 9), (3, 6), (3, 3))))
