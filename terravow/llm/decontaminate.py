@@ -24,7 +24,7 @@ from .shared import batches_of, table, text_bytes, written
 
 WINDOW = 10
 SAMPLING = 8
-PHRASE_BYTES = 16_000_000
+PHRASE_BYTES = 4_000_000
 SHARD_BYTES = 12_000_000
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
 
