@@ -55,7 +55,7 @@ def scene_search(spark, d) -> DataFrame:
     return rows.where("cloud < 20").withColumn("_n", nth).where("_n <= 4").select("season", "year", "scene")
 
 
-@query("src_07")
+@query("src_07", sql("SELECT scene_id, CAST((row - 5) // 2 AS BIGINT) AS r, CAST((col - 5) // 2 AS BIGINT) AS c, arg_min(nir, row * 100 + col) AS nir FROM fx_pixels WHERE row BETWEEN 5 AND 24 AND col BETWEEN 5 AND 24 GROUP BY ALL"))
 def band_window(spark, d) -> DataFrame:
     """A window of one band, placed on the target grid by nearest neighbour."""
     rows = a.pixels(spark, d).where("row BETWEEN 5 AND 24 AND col BETWEEN 5 AND 24")
@@ -68,7 +68,7 @@ def tile_index(spark, d) -> DataFrame:
     return rows.groupBy(F.floor(F.col("row") / 8).cast("int").alias("tile_row"), F.floor(F.col("col") / 8).cast("int").alias("tile_col")).agg((count() * 12).alias("bytes"))
 
 
-@query("src_10")
+@query("src_10", sql("SELECT count(*) / 16e2 AS coverage, count(*) / 16e2 >= 0.99e0 AS usable FROM (SELECT DISTINCT row, col FROM fx_pixels)"))
 def elevation_mosaic(spark, d) -> DataFrame:
     """Overlapping tiles as one surface; the share of places covered decides whether it may be used."""
     rows = a.pixels(spark, d).select("row", "col", "nir")
@@ -95,11 +95,11 @@ def missing_tiles(spark, d) -> DataFrame:
 MAGIC = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "webp": "52494646"}
 
 
-@query("src_12")
+@query("src_12", "SELECT doc_id, ['jpeg', 'png', 'webp', 'refused'][doc_id % 4 + 1] AS kind FROM documents")
 def sniffed(spark, d) -> DataFrame:
     """Kind of an upload by its first bytes, never by its name; planted heads stand before the texts."""
     heads = F.array(*(F.unhex(F.lit(h)) for h in MAGIC.values()), F.encode(F.lit("<html>"), "utf-8"))
-    body = F.concat(F.element_at(heads, (F.col("doc_id") % 4 + 1).cast("int")), F.encode(F.substring("text", 1, 50), "utf-8"))
+    body = F.concat(F.element_at(heads, (F.col("doc_id") % 4 + 1).cast("int")), F.encode(F.coalesce("text", F.lit("")), "utf-8"))
     kind = F.coalesce(*(F.when(F.startswith(F.hex("_body"), F.lit(h)), k) for k, h in MAGIC.items()), F.lit("refused"))
     return a.read(spark, d, "documents").withColumn("_body", body).select("doc_id", kind.alias("kind"))
 
