@@ -21,6 +21,10 @@ A rank is a fingerprint of its string, 64 bits to a half. What is still open rea
 a bitmap sized by the exact count of what it holds, up to ``MAP_BITS``; beyond that nothing is broadcast and the same
 rows are found by a join. A sieve can only let too much through; what is removed rests on exact counts of rank pairs.
 Counts are partial aggregates, so a string found in a third of all documents reaches each reducer as one row a task.
+
+:func:`shared_passages` marks the documents that share ``WORDS`` consecutive words with another one, however few bytes
+they have. It removes nothing. Ranks of 1, 2, 4, ... words are mixed from the pairs of ranks of half as many; anchors
+among the words and classes of stretches thin the positions as above.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from pyspark.sql import functions as F
 from .shared import batches_of, table, text_bytes, written
 
 LENGTH, PREFIX, BLOCK = 400, 128, 8
+#: A passage of over 50 words, and the words of it that lie behind its anchor.
+WORDS, WORD_PREFIX = 51, 16
 #: log2 of the most bits that a map may have (64 MB), and the bits it has for each number it holds.
 MAP_BITS, BITS_EACH = 29, 32
 #: How far a number is shifted for each of its bits in a map.
@@ -44,6 +50,20 @@ PROBES = (0, 17, 34)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _least(hashed: np.ndarray, starts: int, width: int) -> np.ndarray:
+    """The least of the ``width`` numbers from each of the first ``starts`` places on."""
+    lanes = np.concatenate((hashed, np.full(-len(hashed) % width, ~np.uint64(0)))).reshape(-1, width)
+    ahead = np.minimum.accumulate(lanes, axis=1).ravel()
+    behind = np.minimum.accumulate(lanes[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
+
+
+def _turns(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each anchor once, with the first and last start of its windows."""
+    change = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    return anchor[change], change, np.append(change[1:], len(anchor)) - 1
+
+
 def anchors(text: bytes, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a text and the first and last start of their windows."""
     size, width = len(text), length - prefix + 1
@@ -57,14 +77,8 @@ def anchors(text: bytes, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np
         words = np.ndarray((places,), "<u8", memoryview(text[at : at + places + 7].ljust(places + 8, b"\0")), strides=(1,))
         hashed = (words * _MIX) & np.uint64(0xFFFFFFFF00000000)
         hashed |= np.arange(places, dtype="u8")
-        lanes = np.concatenate((hashed, np.full(-places % width, ~np.uint64(0)))).reshape(-1, width)
-        ahead = np.minimum.accumulate(lanes, axis=1).ravel()
-        behind = np.minimum.accumulate(lanes[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-        parts.append((least & np.uint64(0xFFFFFFFF)).astype("i8") + at)
-    anchor = np.concatenate(parts)
-    change = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    return anchor[change], change, np.append(change[1:], len(anchor)) - 1
+        parts.append((_least(hashed, starts, width) & np.uint64(0xFFFFFFFF)).astype("i8") + at)
+    return _turns(np.concatenate(parts))
 
 
 def _rank(part: bytes | memoryview) -> int:
@@ -287,6 +301,118 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     return spans
 
 
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", "u1"))
+_LETTER = np.where(_BLANK, 0, np.random.default_rng(7).integers(1, 1 << 63, 256, "u8"))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _MIX ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def word_ranks(text: bytes) -> np.ndarray:
+    """A 64-bit rank for every word of a text; words are what lies between blanks."""
+    raw = np.frombuffer(text, "u1")
+    inside = np.concatenate(([False], ~_BLANK[raw]))
+    start = np.flatnonzero(inside[1:] & ~inside[:-1])
+    parts, step = [np.zeros(0, "u8")], 1 << 20
+    bounds = np.searchsorted(start, np.arange(0, len(raw) + step, step)).tolist()
+    for a, b in zip(bounds, bounds[1:], strict=False):  # words by the megabyte: memory does not follow the text's length
+        if a == b:
+            continue
+        ends = len(raw) if b == len(start) else int(start[b])
+        begin = start[a:b] - start[a]
+        letters = _LETTER[raw[start[a] : ends]]
+        place = np.arange(len(letters)) - np.repeat(begin, np.diff(begin, append=len(letters)))
+        powers = np.cumprod(np.full(int(place.max()) + 1, _MIX))
+        whole = np.add.reduceat(letters * powers[place], begin)
+        parts.append(_mixed(whole, whole >> np.uint64(7)))
+    return np.concatenate(parts)
+
+
+def word_windows(text: bytes, words: int, prefix: int) -> tuple[np.ndarray, ...] | None:
+    """Anchors, first and last starts of their windows, ranks of the words behind them, and rank pairs of all windows."""
+    rank, reached, behind = word_ranks(text), 1, None
+    if len(rank) < words:
+        return None
+    while reached * 2 <= words:
+        if reached == prefix:
+            behind = rank
+        rank, reached = _mixed(rank[:-reached], rank[reached:]), reached * 2
+    behind = rank if behind is None else behind
+    left, right = rank[: len(rank) - (words - reached)], rank[words - reached :]
+    width, starts = words - prefix + 1, len(left)
+    hashed = behind[: starts + width - 1] & np.uint64(0xFFFFFFFF00000000) | np.arange(starts + width - 1, dtype="u8")
+    at, low, high = _turns((_least(hashed, starts, width) & np.uint64(0xFFFFFFFF)).astype("i8"))
+    return at, low, high, behind[at], left, right
+
+
+def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREFIX, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
+    """(_doc) once for each document that holds ``words`` consecutive words which another document holds too.
+
+    ``prefix`` is a power of two, and ``words`` at least twice that. Blanks between words do not matter. Anchors whose
+    ``prefix`` words are found in one document only leave; a stretch found in two documents marks all that have it. Only
+    where a document without such a stretch has a rank in common with others are single windows compared, with one
+    member of each class of stretches.
+    """
+
+    def _signed(x: np.ndarray) -> list[int]:
+        return x.view("i8").tolist()
+
+    def prefixes(ident, text):
+        found = word_windows(text, words, prefix)
+        if found is not None:
+            yield (_signed(np.unique(found[3])),)
+
+    may_repeat = written(_repeated(_scan(docs, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
+    may = Sieve.of(may_repeat, "rank", map_bits)
+
+    def stretches(ident, text):
+        found = word_windows(text, words, prefix)
+        if found is None:
+            return
+        at, low, high, rank, left, right = found
+        open_ = _may(may, rank.view("i8"))
+        at, low, high, rank = at[open_], low[open_], high[open_], rank[open_]
+        shape = ((at - low) << 20 | (high - low)).astype("u8")
+        one, two = _mixed(_mixed(left[low], right[low]), shape), _mixed(_mixed(left[high], right[high]), shape)
+        _, first = np.unique(np.stack((rank, one, two)), axis=1, return_index=True)  # once a document
+        if len(first):
+            key = _doc_key(ident, text)
+            yield [key] * len(first), at[first].tolist(), _signed(rank[first]), _signed(one[first]), _signed(two[first]), _mark(key, at[first]).tolist()
+
+    second = _scan(docs, stretches, _DOC + _longs("at", "rank", "left", "right", "mark"), id_col, text_col)
+    second = written(second.join(may_repeat, "rank", "left_semi") if may is None else second, "stretches")
+    same = written(_repeated(second, "left", "right"), "repeated")
+    marked = written(second.join(same, ["left", "right"], "left_semi").select("_doc").distinct(), "marked")
+    asked = written(second.join(marked, "_doc", "left_anti").select("rank").distinct(), "asked")
+    opened = written(_open_classes(second.join(asked, "rank", "left_semi"), "rank", "mark", "_doc", "at"), "open")
+    marks = Sieve.of(opened, "mark", map_bits)
+
+    def windows(ident, text, *chosen):
+        found = word_windows(text, words, prefix)
+        if found is None:
+            return
+        at, low, high, _, left, right = found
+        key = _doc_key(ident, text)
+        go = np.flatnonzero(np.isin(at, chosen[0])) if chosen else np.flatnonzero(_may(marks, _mark(key, at)))
+        if len(go):
+            own = np.concatenate([np.arange(low[k], high[k] + 1) for k in go.tolist()])
+            pairs = np.unique(np.stack((left[own], right[own])), axis=1)
+            yield [key] * pairs.shape[1], _signed(pairs[0].copy()), _signed(pairs[1].copy())
+
+    shape = _DOC + _longs("left", "right")
+    if marks is None:
+        of_doc = opened.groupBy("_doc").agg(F.collect_set("at").alias("_at"))  # one document's anchors
+        third = _scan(_keyed(docs, id_col, text_col).join(of_doc, "_doc"), windows, shape, "_id", "_text", ("_at",))
+    else:
+        third = _scan(docs, windows, shape, id_col, text_col)
+    third = written(third, "windows")  # rows that share a key are copies, so marked already
+    same = written(_repeated(third, "left", "right"), "repeated")
+    return marked.unionByName(third.join(same, ["left", "right"], "left_semi").select("_doc")).distinct()
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, sieve: Broadcast | None = None, wanted: bool = True) -> DataFrame:
     """(_id, _text as bytes, _doc) of the documents; with a sieve, of those that it lets through, or of the others."""
     from xxhash import xxh64_intdigest
@@ -306,16 +432,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, sieve: Broadcast | None
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(keyed, f"_id {kind}, _text binary, _doc binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, spans (removed, merged: array of start and stop byte), kept (binary).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS, words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, spans (removed, merged: array of start and stop byte), kept (binary), shares_passage.
 
     Texts are UTF-8 bytes, null counts as empty; strings do not reach over documents. A text shorter than ``length``
     loses nothing. Repeated rows are documents of their own, so they repeat each other; null and repeated ids are ids
     like others. Spans may cut characters: what is kept is bytes. Texts without spans never leave their scan, unless
-    the documents with spans are too many for a sieve.
+    the documents with spans are too many for a sieve. ``shares_passage`` says whether another row holds ``words``
+    consecutive words of this one (:func:`shared_passages`); such words are kept where they have fewer bytes than ``length``.
     """
     spans = repeated_spans(docs, length, prefix, block, id_col, text_col, map_bits)
-    of_doc = written(spans.groupBy("_doc").agg(F.collect_list(F.struct("start", "stop")).alias("_found")), "spans")  # one document's spans
+    sharing = shared_passages(docs, words, id_col=id_col, text_col=text_col, map_bits=map_bits)
+    span = F.struct("start", "stop").alias("_span")
+    both = spans.select("_doc", span, F.lit(False).alias("_shares")).unionByName(sharing.select("_doc", F.lit(None).alias("_span"), F.lit(True).alias("_shares")))
+    of_doc = written(both.groupBy("_doc").agg(F.collect_list("_span").alias("_found"), F.bool_or("_shares").alias("_shares")), "spans")  # one document's spans
     cut = Sieve.of(of_doc.select(F.xxhash64("_doc").alias("number")), "number", map_bits)
     kind = docs.schema[id_col].dataType.simpleString()
     removed = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -337,14 +467,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
                 kept.append(b"".join([*parts, text[at:]]))
                 merged.append([{"start": a, "stop": b} for a, b in runs])
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, removed), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
+            shares = [x is True for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, removed), pa.array(kept, pa.binary()), pa.array(shares)], names=[id_col, "n_bytes", "spans", "kept", "shares_passage"])
 
-    shape = f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
-    touched = _keyed(docs, id_col, text_col, cut).join(of_doc, "_doc", "left").select("_id", "_text", "_found").mapInArrow(shorten, shape)
+    shape = f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, shares_passage boolean"
+    touched = _keyed(docs, id_col, text_col, cut).join(of_doc, "_doc", "left").select("_id", "_text", "_found", "_shares").mapInArrow(shorten, shape)
     if cut is None:
         return touched
     plain = _keyed(docs, id_col, text_col, cut, wanted=False)
-    return touched.unionByName(plain.select(F.col("_id").alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.col("_text").alias("kept")))
+    return touched.unionByName(plain.select(F.col("_id").alias(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.col("_text").alias("kept"), F.lit(False).alias("shares_passage")))
 
 
 def doubled_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,4 +506,4 @@ def doubled_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")

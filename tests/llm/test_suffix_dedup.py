@@ -47,6 +47,32 @@ def test_repeats_leave_whole(spark, rows, map_bits):
     assert any(len(k) < n for _, n, k in expected)
 
 
+def sharing(texts, words=suffix_dedup.WORDS):
+    """Whether each text holds ``words`` consecutive words of another one."""
+    split = [(t or "").encode().split() for t in texts]
+    own = [{tuple(ws[i : i + words]) for i in range(len(ws) - words + 1)} for ws in split]
+    held = collections.Counter(w for o in own for w in o)
+    return [any(held[w] > 1 for w in o) for o in own]
+
+
+@pytest.mark.parametrize("map_bits", [suffix_dedup.MAP_BITS, 0])
+def test_shared_passages(spark, rows, map_bits):
+    """Passages of 50 and 51 words, with other blanks between; what repeats in one document only is not shared."""
+    draw = random.Random(3)
+    text = lambda n: " ".join("".join(draw.choices("abcdeé", k=draw.randint(1, 4))) for _ in range(n))
+    passages, twice = [text(51).split() for _ in range(9)], text(70)
+    texts = [f"{text(draw.randint(0, 200))} {' '.join(p[:n])}\n{text(draw.randint(0, 90))}" for p in passages for n in (51, 50)]
+    texts += [f"{text(40)}\t{(' ' * k).join(p)} {text(k)}" for k, p in enumerate(passages[:6], 1)]
+    texts += [f"{twice} {text(9)} {twice}", text(5000), f"{text(60)} {' '.join(passages[8][:50])}", text(51), "x" * 9000, f"{text(99)} {' '.join(passages[0])} {twice[:90]}"]
+    all_rows = [*rows, *((k + 1000, t) for k, t in enumerate(texts))]
+    expected = sharing([t for _, t in all_rows])
+    assert 8 < sum(expected[len(rows) :]) < len(texts) - 8
+    docs = spark.createDataFrame([(i, t, True) for i, t in all_rows], "doc_id long, text string, _shares boolean").repartition(3)
+    found = suffix_dedup.remove_repeats(docs, map_bits=map_bits).select("doc_id", "shares_passage").collect()
+    order = lambda xs: sorted(xs, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert order((r[0], r[1]) for r in found) == order((i, e) for (i, _), e in zip(all_rows, expected, strict=True))
+
+
 def test_doubling_finds_the_same(spark, rows):
     short = [(i, t) for i, t in rows if len(t or "") < 2500]
     docs = spark.createDataFrame(short, "doc_id long, text string").repartition(2)
