@@ -102,6 +102,14 @@ def _doc_key(ident, text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16, salt=str(ident).encode()[-16:]).digest()
 
 
+def _number(key: bytes) -> int:
+    """What Spark's xxhash64 makes of a key."""
+    from xxhash import xxh64_intdigest
+
+    n = xxh64_intdigest(key, 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
 def _mark(key: bytes | list[int], anchor: np.ndarray | list[int]) -> np.ndarray:
     """A number for (document, anchor), well mixed; ``key`` is a document's, or numbers of contexts."""
     of = np.frombuffer(key[:8], "u8") if isinstance(key, bytes) else np.asarray(key, "i8").view("u8")
@@ -301,10 +309,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     return spans
 
 
-_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", "u1"))
-_LETTER = np.where(_BLANK, 0, np.random.default_rng(7).integers(1, 1 << 63, 256, "u8"))
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _MIX ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -313,22 +317,10 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def word_ranks(text: bytes) -> np.ndarray:
     """A 64-bit rank for every word of a text; words are what lies between blanks."""
-    raw = np.frombuffer(text, "u1")
-    inside = np.concatenate(([False], ~_BLANK[raw]))
-    start = np.flatnonzero(inside[1:] & ~inside[:-1])
-    parts, step = [np.zeros(0, "u8")], 1 << 20
-    bounds = np.searchsorted(start, np.arange(0, len(raw) + step, step)).tolist()
-    for a, b in zip(bounds, bounds[1:], strict=False):  # words by the megabyte: memory does not follow the text's length
-        if a == b:
-            continue
-        ends = len(raw) if b == len(start) else int(start[b])
-        begin = start[a:b] - start[a]
-        letters = _LETTER[raw[start[a] : ends]]
-        place = np.arange(len(letters)) - np.repeat(begin, np.diff(begin, append=len(letters)))
-        powers = np.cumprod(np.full(int(place.max()) + 1, _MIX))
-        whole = np.add.reduceat(letters * powers[place], begin)
-        parts.append(_mixed(whole, whole >> np.uint64(7)))
-    return np.concatenate(parts)
+    from xxhash import xxh3_64_intdigest
+
+    words = text.split()
+    return np.fromiter(map(xxh3_64_intdigest, words), "u8", len(words))
 
 
 def word_windows(text: bytes, words: int, prefix: int) -> tuple[np.ndarray, ...] | None:
@@ -377,7 +369,7 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
         at, low, high, rank = at[open_], low[open_], high[open_], rank[open_]
         shape = ((at - low) << 20 | (high - low)).astype("u8")
         one, two = _mixed(_mixed(left[low], right[low]), shape), _mixed(_mixed(left[high], right[high]), shape)
-        _, first = np.unique(np.stack((rank, one, two)), axis=1, return_index=True)  # once a document
+        _, first = np.unique(_mixed(one, two), return_index=True)  # once a document
         if len(first):
             key = _doc_key(ident, text)
             yield [key] * len(first), at[first].tolist(), _signed(rank[first]), _signed(one[first]), _signed(two[first]), _mark(key, at[first]).tolist()
@@ -389,18 +381,21 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
     asked = written(second.join(marked, "_doc", "left_anti").select("rank").distinct(), "asked")
     opened = written(_open_classes(second.join(asked, "rank", "left_semi"), "rank", "mark", "_doc", "at"), "open")
     marks = Sieve.of(opened, "mark", map_bits)
+    owners = Sieve.of(written(opened.select(F.xxhash64("_doc").alias("number")).distinct(), "owners"), "number", map_bits)
 
     def windows(ident, text, *chosen):
+        key = _doc_key(ident, text)
+        if not chosen and not _may(owners, [_number(key)])[0]:
+            return
         found = word_windows(text, words, prefix)
         if found is None:
             return
         at, low, high, _, left, right = found
-        key = _doc_key(ident, text)
         go = np.flatnonzero(np.isin(at, chosen[0])) if chosen else np.flatnonzero(_may(marks, _mark(key, at)))
         if len(go):
             own = np.concatenate([np.arange(low[k], high[k] + 1) for k in go.tolist()])
-            pairs = np.unique(np.stack((left[own], right[own])), axis=1)
-            yield [key] * pairs.shape[1], _signed(pairs[0].copy()), _signed(pairs[1].copy())
+            _, first = np.unique(_mixed(left[own], right[own]), return_index=True)  # once a document
+            yield [key] * len(first), _signed(left[own[first]]), _signed(right[own[first]])
 
     shape = _DOC + _longs("left", "right")
     if marks is None:
@@ -415,15 +410,13 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, sieve: Broadcast | None = None, wanted: bool = True) -> DataFrame:
     """(_id, _text as bytes, _doc) of the documents; with a sieve, of those that it lets through, or of the others."""
-    from xxhash import xxh64_intdigest
-
     def keyed(batches):
         for batch in batches_of(batches):
             rows = text_bytes(batch.column(1))
             keys = [_doc_key(i, t) for i, t in zip(batch.column(0).to_pylist(), rows, strict=True)]
             hit = np.arange(len(rows))
             if sieve is not None:
-                hit = np.flatnonzero(_may(sieve, np.array([xxh64_intdigest(k, 42) for k in keys], "u8").view("i8")) == wanted)
+                hit = np.flatnonzero(_may(sieve, [_number(k) for k in keys]) == wanted)
             if len(hit):
                 chosen = hit.tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([rows[k] for k in chosen], pa.binary()), pa.array([keys[k] for k in chosen], pa.binary())], names=["_id", "_text", "_doc"])
