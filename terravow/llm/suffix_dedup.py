@@ -23,8 +23,7 @@ rows are found by a join. A sieve can only let too much through; what is removed
 Counts are partial aggregates, so a string found in a third of all documents reaches each reducer as one row a task.
 
 :func:`shared_passages` marks the documents that share ``WORDS`` consecutive words with another one, however few bytes
-they have. It removes nothing. Ranks of 1, 2, 4, ... words are mixed from the pairs of ranks of half as many; anchors
-among the words and classes of stretches thin the positions as above.
+they have. It removes nothing. Anchors among the words' starts and classes of stretches thin the positions as above.
 """
 
 from __future__ import annotations
@@ -37,6 +36,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from .shared import batches_of, table, text_bytes, written
 
@@ -48,6 +48,7 @@ MAP_BITS, BITS_EACH = 29, 32
 #: How far a number is shifted for each of its bits in a map.
 PROBES = (0, 17, 34)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
 
 
 def _least(hashed: np.ndarray, starts: int, width: int) -> np.ndarray:
@@ -82,16 +83,17 @@ def anchors(text: bytes, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np
 
 
 def _rank(part: bytes | memoryview) -> int:
-    from xxhash import xxh3_64_intdigest
-
     n = xxh3_64_intdigest(part)
     return n - (1 << 64) if n >> 63 else n
 
 
+def _ranks(view: memoryview, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Ranks of the strings from each start to its stop."""
+    return np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], "u8").view("i8")
+
+
 def _pair(part: memoryview, seed: int) -> tuple[int, int]:
     """Ranks of the two halves; ``seed`` tells apart what may be compared only within itself."""
-    from xxhash import xxh3_64_intdigest
-
     half = len(part) // 2
     a, b = xxh3_64_intdigest(part[:half], seed), xxh3_64_intdigest(part[half:], seed)
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
@@ -104,8 +106,6 @@ def _doc_key(ident, text: bytes) -> bytes:
 
 def _number(key: bytes) -> int:
     """What Spark's xxhash64 makes of a key."""
-    from xxhash import xxh64_intdigest
-
     n = xxh64_intdigest(key, 42)
     return n - (1 << 64) if n >> 63 else n
 
@@ -197,8 +197,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     """(_doc, start, stop): byte spans to remove, overlapping ones included; ``_doc`` is a document's :func:`_doc_key`."""
 
     def prefixes(ident, text):
-        view = memoryview(text)
-        yield ([_rank(view[a : a + prefix]) for a in anchors(text, length, prefix)[0].tolist()],)
+        at = anchors(text, length, prefix)[0]
+        yield (_ranks(memoryview(text), at, at + prefix).tolist(),)
 
     may_repeat = written(_repeated(_scan(docs, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
     may = Sieve.of(may_repeat, "rank", map_bits)
@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         if not len(at):
             return
         view = memoryview(text)
-        rank = np.array([_rank(view[a : a + prefix]) for a in at.tolist()], "i8")
+        rank = _ranks(view, at, at + prefix)
         open_ = _may(may, rank)
         at, low, high, rank = at[open_], low[open_], high[open_], rank[open_]
         if not len(at):
@@ -309,53 +309,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     return spans
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _MIX ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(29)
-
+def word_windows(text: bytes, words: int, prefix: int) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The text with single blanks, where its words start, and anchors with the first and last starts of their windows.
 
-def word_ranks(text: bytes) -> np.ndarray:
-    """A 64-bit rank for every word of a text; words are what lies between blanks."""
-    from xxhash import xxh3_64_intdigest
-
-    words = text.split()
-    return np.fromiter(map(xxh3_64_intdigest, words), "u8", len(words))
-
-
-def word_windows(text: bytes, words: int, prefix: int) -> tuple[np.ndarray, ...] | None:
-    """Anchors, first and last starts of their windows, ranks of the words behind them, and rank pairs of all windows."""
-    rank, reached, behind = word_ranks(text), 1, None
-    if len(rank) < words:
+    Anchors and starts are numbers of words; words are what lies between blanks. A window's anchor is the word in it
+    whose next eight bytes hash lowest, among those with ``prefix`` words of the window from there on.
+    """
+    plain = text.translate(_BLANKS).strip()
+    blank = np.frombuffer(plain, "u1") == 32
+    again = blank[1:] & blank[:-1]
+    if again.any():
+        lone = np.append(~again, True)
+        plain, blank = np.frombuffer(plain, "u1")[lone].tobytes(), blank[lone]
+    first = np.concatenate(([0], np.flatnonzero(blank) + 1, [len(plain) + 1]))
+    windows, width = len(first) - words, words - prefix + 1
+    if windows < 1:
         return None
-    while reached * 2 <= words:
-        if reached == prefix:
-            behind = rank
-        rank, reached = _mixed(rank[:-reached], rank[reached:]), reached * 2
-    behind = rank if behind is None else behind
-    left, right = rank[: len(rank) - (words - reached)], rank[words - reached :]
-    width, starts = words - prefix + 1, len(left)
-    hashed = behind[: starts + width - 1] & np.uint64(0xFFFFFFFF00000000) | np.arange(starts + width - 1, dtype="u8")
-    at, low, high = _turns((_least(hashed, starts, width) & np.uint64(0xFFFFFFFF)).astype("i8"))
-    return at, low, high, behind[at], left, right
+    places = windows + width - 1
+    eight = np.ndarray((len(plain),), "<u8", plain + bytes(8), strides=(1,))
+    hashed = (eight[first[:places]] * _MIX) & np.uint64(0xFFFFFFFF00000000) | np.arange(places, dtype="u8")
+    return memoryview(plain), first, *_turns((_least(hashed, windows, width) & np.uint64(0xFFFFFFFF)).astype("i8"))
 
 
 def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREFIX, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
     """(_doc) once for each document that holds ``words`` consecutive words which another document holds too.
 
-    ``prefix`` is a power of two, and ``words`` at least twice that. Blanks between words do not matter. Anchors whose
+    ``prefix`` is at least five, so that a word's next eight bytes lie within. Blanks between words do not matter. Anchors whose
     ``prefix`` words are found in one document only leave; a stretch found in two documents marks all that have it. Only
     where a document without such a stretch has a rank in common with others are single windows compared, with one
     member of each class of stretches.
     """
 
-    def _signed(x: np.ndarray) -> list[int]:
-        return x.view("i8").tolist()
-
     def prefixes(ident, text):
         found = word_windows(text, words, prefix)
         if found is not None:
-            yield (_signed(np.unique(found[3])),)
+            view, first, at, _, _ = found
+            yield (list(set(_ranks(view, first[at], first[at + prefix] - 1).tolist())),)
 
     may_repeat = written(_repeated(_scan(docs, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
     may = Sieve.of(may_repeat, "rank", map_bits)
@@ -364,15 +353,17 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
         found = word_windows(text, words, prefix)
         if found is None:
             return
-        at, low, high, rank, left, right = found
-        open_ = _may(may, rank.view("i8"))
-        at, low, high, rank = at[open_], low[open_], high[open_], rank[open_]
-        shape = ((at - low) << 20 | (high - low)).astype("u8")
-        one, two = _mixed(_mixed(left[low], right[low]), shape), _mixed(_mixed(left[high], right[high]), shape)
-        _, first = np.unique(_mixed(one, two), return_index=True)  # once a document
-        if len(first):
-            key = _doc_key(ident, text)
-            yield [key] * len(first), at[first].tolist(), _signed(rank[first]), _signed(one[first]), _signed(two[first]), _mark(key, at[first]).tolist()
+        view, first, at, low, high = found
+        rank = _ranks(view, first[at], first[at + prefix] - 1)
+        go = np.flatnonzero(_may(may, rank))
+        at, low, high = at[go], low[go], high[go]
+        places = (x.tolist() for x in (first[low], first[high + words] - 1, (at - low) << 20 | high - low, at, rank[go]))
+        once = {}  # a stretch once a document
+        for a, b, shape, anchor, r in zip(*places, strict=True):
+            once.setdefault(_pair(view[a:b], shape), (anchor, r))
+        if once:
+            key, of = _doc_key(ident, text), [c for c, _ in once.values()]
+            yield [key] * len(of), of, [r for _, r in once.values()], [p[0] for p in once], [p[1] for p in once], _mark(key, of).tolist()
 
     second = _scan(docs, stretches, _DOC + _longs("at", "rank", "left", "right", "mark"), id_col, text_col)
     second = written(second.join(may_repeat, "rank", "left_semi") if may is None else second, "stretches")
@@ -390,12 +381,12 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
         found = word_windows(text, words, prefix)
         if found is None:
             return
-        at, low, high, _, left, right = found
+        view, first, at, low, high = found
         go = np.flatnonzero(np.isin(at, chosen[0])) if chosen else np.flatnonzero(_may(marks, _mark(key, at)))
         if len(go):
             own = np.concatenate([np.arange(low[k], high[k] + 1) for k in go.tolist()])
-            _, first = np.unique(_mixed(left[own], right[own]), return_index=True)  # once a document
-            yield [key] * len(first), _signed(left[own[first]]), _signed(right[own[first]])
+            pairs = {_pair(view[a : b - 1], 0) for a, b in zip(first[own].tolist(), first[own + words].tolist(), strict=True)}  # once a document
+            yield [key] * len(pairs), [p[0] for p in pairs], [p[1] for p in pairs]
 
     shape = _DOC + _longs("left", "right")
     if marks is None:
