@@ -43,6 +43,8 @@ from .shared import batches_of, table, text_bytes, written
 LENGTH, PREFIX, BLOCK = 400, 128, 8
 #: A passage of over 50 words, and the words of it that lie behind its anchor.
 WORDS, WORD_PREFIX = 51, 16
+#: How many bytes of texts are hashed together.
+TOGETHER = 1 << 16
 #: log2 of the most bits that a map may have (64 MB), and the bits it has for each number it holds.
 MAP_BITS, BITS_EACH = 29, 32
 #: How far a number is shifted for each of its bits in a map.
@@ -53,10 +55,10 @@ _BLANKS = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
 
 def _least(hashed: np.ndarray, starts: int, width: int) -> np.ndarray:
     """The least of the ``width`` numbers from each of the first ``starts`` places on."""
-    lanes = np.concatenate((hashed, np.full(-len(hashed) % width, ~np.uint64(0)))).reshape(-1, width)
-    ahead = np.minimum.accumulate(lanes, axis=1).ravel()
-    behind = np.minimum.accumulate(lanes[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
+    reached, least = 1, hashed
+    while reached * 2 <= width:
+        least, reached = np.minimum(least[:-reached], least[reached:]), reached * 2
+    return np.minimum(least[:starts], least[width - reached : width - reached + starts])
 
 
 def _turns(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +84,52 @@ def anchors(text: bytes, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np
     return _turns(np.concatenate(parts))
 
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _groups(sizes: list[int], least: int) -> Iterator[list[int]]:
+    """Places of the texts of at least ``least``, in groups of about ``TOGETHER`` bytes."""
+    group, total = [], 0
+    for k, n in enumerate(sizes):
+        if n < least:
+            continue
+        if group and total + n > TOGETHER:
+            yield group
+            group, total = [], 0
+        group.append(k)
+        total += n
+    if group:
+        yield group
+
+
+def _found(hashed: np.ndarray, bounds: np.ndarray, length: int, width: int) -> list[Found]:
+    """Anchors and first and last starts for each stretch of places between bounds; every stretch has a window."""
+    low32 = np.uint64(0xFFFFFFFF)
+    least = _least(hashed & ~low32 | np.arange(len(hashed), dtype="u8"), len(hashed) - length + 1, width)
+    start = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+    at, first, last = _turns((least[start] & low32).astype("i8"))
+    low, high, cut = start[first], start[last], np.searchsorted(at, bounds)
+    return [(at[i:j] - a, low[i:j] - a, high[i:j] - a) for a, i, j in zip(bounds[:-1].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+_NONE: Found = (np.zeros(0, "i8"),) * 3
+
+
+def anchors_of(texts: list[bytes], length: int = LENGTH, prefix: int = PREFIX) -> list[Found]:
+    """:func:`anchors` of many texts; short ones are hashed together."""
+    found = [_NONE] * len(texts)
+    for group in _groups([len(t) for t in texts], length):
+        if len(group) == 1:
+            found[group[0]] = anchors(texts[group[0]], length, prefix)
+            continue
+        together = b"".join([texts[k] for k in group])
+        bounds = np.cumsum([0, *(len(texts[k]) for k in group)])
+        hashed = np.ndarray((len(together),), "<u8", together + bytes(8), strides=(1,)) * _MIX
+        for k, one in zip(group, _found(hashed, bounds, length, length - prefix + 1), strict=True):
+            found[k] = one
+    return found
+
+
 def _rank(part: bytes | memoryview) -> int:
     n = xxh3_64_intdigest(part)
     return n - (1 << 64) if n >> 63 else n
@@ -155,22 +203,56 @@ def _may(sieve: Broadcast | None, numbers: np.ndarray | list[int]) -> np.ndarray
     return np.ones(len(numbers), bool) if sieve is None else sieve.value.lets_through(numbers)
 
 
-def _scan(docs: DataFrame, per_text: Callable[[object, bytes], Iterator[tuple]], shape: list[tuple[str, str, pa.DataType]], id_col: str, text_col: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows made from each text: ``per_text`` yields a list of values a column."""
+def _scan(docs: DataFrame, found_in: Callable[[list, list[bytes]], list], per_text: Callable[..., Iterator[tuple]], shape: list[tuple[str, str, pa.DataType]], id_col: str, text_col: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows made from each text: ``per_text`` yields a list of values a column.
+
+    It gets id, text and what ``found_in`` finds in the text; that is asked for many ids and texts at once, and texts
+    for which it finds None are passed over.
+    """
 
     def scanned(batches):
         for batch in batches_of(batches, 4_000_000):
             out: list[list] = [[] for _ in shape]
+            idents, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             extra = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
-            for ident, text, *rest in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), *extra, strict=True):
-                for row in per_text(ident, text, *rest):
-                    for column, values in zip(out, row, strict=True):
-                        column.extend(values)
+            for ident, text, found, *rest in zip(idents, texts, found_in(idents, texts), *extra, strict=True):
+                if found is not None:
+                    for row in per_text(ident, text, found, *rest):
+                        for column, values in zip(out, row, strict=True):
+                            column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, _, kind) in zip(out, shape, strict=True)], names=[n for n, _, _ in shape])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *more).mapInArrow(scanned, ", ".join(f"{n} {t}" for n, t, _ in shape))
 
 
+def _of_owners(owners: Broadcast | None, find: Callable[[list[bytes]], list]) -> Callable[[list, list[bytes]], list]:
+    """``find`` for the documents that the sieve of their keys lets through."""
+
+    def found_in(idents, texts):
+        go = np.flatnonzero(_may(owners, [_number(_doc_key(i, t)) for i, t in zip(idents, texts, strict=True)]) if owners is not None else np.ones(len(texts), bool)).tolist()
+        found = [None] * len(texts)
+        for k, one in zip(go, find([texts[k] for k in go]), strict=True):
+            found[k] = one
+        return found
+
+    return found_in
+
+
+def _open(may: Broadcast | None, found: list, ranked: Callable[..., np.ndarray]) -> list:
+    """(what was found, ranks of its anchors, places of the anchors that may repeat); the sieve is asked once for all."""
+    ranks = [None if one is None else ranked(k, one) for k, one in enumerate(found)]
+    go = _may(may, np.concatenate([np.zeros(0, "i8"), *(r for r in ranks if r is not None)]))
+    out, at = [], 0
+    for one, rank in zip(found, ranks, strict=True):
+        if rank is None:
+            out.append(None)
+            continue
+        open_ = np.flatnonzero(go[at : at + len(rank)])
+        at += len(rank)
+        out.append((one, rank, open_) if len(open_) else None)
+    return out
+
+
 def _longs(*names: str) -> list[tuple[str, str, pa.DataType]]:
     return [(n, "long", pa.int64()) for n in names]
 
@@ -196,28 +278,26 @@ def _open_classes(rows: DataFrame, rank: str, *place: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
     """(_doc, start, stop): byte spans to remove, overlapping ones included; ``_doc`` is a document's :func:`_doc_key`."""
 
-    def prefixes(ident, text):
-        at = anchors(text, length, prefix)[0]
-        yield (_ranks(memoryview(text), at, at + prefix).tolist(),)
+    def prefixes(ident, text, found):
+        yield (_ranks(memoryview(text), found[0], found[0] + prefix).tolist(),)
+
+    def every(idents, texts):
+        return anchors_of(texts, length, prefix)
 
-    may_repeat = written(_repeated(_scan(docs, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
+    may_repeat = written(_repeated(_scan(docs, every, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
     may = Sieve.of(may_repeat, "rank", map_bits)
 
-    def stretches(ident, text):
-        at, low, high = anchors(text, length, prefix)
-        if not len(at):
-            return
-        view = memoryview(text)
-        rank = _ranks(view, at, at + prefix)
-        open_ = _may(may, rank)
-        at, low, high, rank = at[open_], low[open_], high[open_], rank[open_]
-        if not len(at):
-            return
+    def repeating(idents, texts):
+        return _open(may, anchors_of(texts, length, prefix), lambda k, one: _ranks(memoryview(texts[k]), one[0], one[0] + prefix))
+
+    def stretches(ident, text, found):
+        (at, low, high), rank, go = found
+        at, low, high, rank, view = at[go], low[go], high[go], rank[go], memoryview(text)
         pairs = [_pair(view[a : b + length], (c - a) << 20 | b - a) for a, b, c in zip(low.tolist(), high.tolist(), at.tolist())]
         key = _doc_key(ident, text)
         yield [key] * len(at), at.tolist(), low.tolist(), high.tolist(), rank.tolist(), [p[0] for p in pairs], [p[1] for p in pairs], _mark(key, at).tolist()
 
-    second = _scan(docs, stretches, _DOC + _longs("at", "low", "high", "rank", "left", "right", "mark"), id_col, text_col)
+    second = _scan(docs, repeating, stretches, _DOC + _longs("at", "low", "high", "rank", "left", "right", "mark"), id_col, text_col)
     second = written(second.join(may_repeat, "rank", "left_semi") if may is None else second, "stretches")
 
     opened = written(_open_classes(second, "rank", "mark", "_doc", "at"), "open")
@@ -226,10 +306,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     # --- contexts: the bytes around the anchors that are still open, numbered as they are written
     shape = _DOC + _longs("at", "low", "high") + [("bytes", "binary", pa.binary())]
 
-    def contexts(ident, text, *chosen):
-        at, low, high = anchors(text, length, prefix)
-        if not len(at):
-            return
+    owners = Sieve.of(written(opened.select(F.xxhash64("_doc").alias("number")).distinct(), "owners"), "number", map_bits)
+
+    def contexts(ident, text, found, *chosen):
+        at, low, high = found
         key, view = _doc_key(ident, text), memoryview(text)
         go = np.flatnonzero(np.isin(at, chosen[0])) if chosen else np.flatnonzero(_may(marks, _mark(key, at)))
         go = go.tolist()
@@ -237,9 +317,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
 
     if marks is None:
         of_doc = opened.groupBy("_doc").agg(F.collect_set("at").alias("_at"))  # one document's anchors
-        held = _scan(_keyed(docs, id_col, text_col).join(of_doc, "_doc"), contexts, shape, "_id", "_text", ("_at",))
+        held = _scan(_keyed(docs, id_col, text_col).join(of_doc, "_doc"), every, contexts, shape, "_id", "_text", ("_at",))
     else:
-        held = _scan(docs, contexts, shape, id_col, text_col)
+        held = _scan(docs, _of_owners(owners, lambda texts: anchors_of(texts, length, prefix)), contexts, shape, id_col, text_col)
     held = written(held.withColumn("context", F.monotonically_increasing_id()), "contexts")
 
     def blocks_of(at: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
@@ -309,26 +389,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     return spans
 
 
-def word_windows(text: bytes, words: int, prefix: int) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The text with single blanks, where its words start, and anchors with the first and last starts of their windows.
+def _plain(text: bytes) -> bytes:
+    """Words with one blank between; words are what lies between blanks."""
+    plain = text.translate(_BLANKS).strip()
+    if b"  " not in plain:
+        return plain
+    octets = np.frombuffer(plain, "u1")
+    blank = octets == 32
+    return octets[np.append(~(blank[1:] & blank[:-1]), True)].tobytes()
+
 
-    Anchors and starts are numbers of words; words are what lies between blanks. A window's anchor is the word in it
-    whose next eight bytes hash lowest, among those with ``prefix`` words of the window from there on.
+def word_windows(texts: list[bytes], words: int, prefix: int) -> list[tuple[memoryview, np.ndarray, Found] | None]:
+    """For each text: it with single blanks, where its words start, and anchors with the first and last starts of their windows.
+
+    Anchors and starts are numbers of words. A window's anchor is the word in it whose next eight bytes hash lowest,
+    among those with ``prefix`` words of the window from there on. None where a text has fewer than ``words``.
     """
-    plain = text.translate(_BLANKS).strip()
-    blank = np.frombuffer(plain, "u1") == 32
-    again = blank[1:] & blank[:-1]
-    if again.any():
-        lone = np.append(~again, True)
-        plain, blank = np.frombuffer(plain, "u1")[lone].tobytes(), blank[lone]
-    first = np.concatenate(([0], np.flatnonzero(blank) + 1, [len(plain) + 1]))
-    windows, width = len(first) - words, words - prefix + 1
-    if windows < 1:
-        return None
-    places = windows + width - 1
-    eight = np.ndarray((len(plain),), "<u8", plain + bytes(8), strides=(1,))
-    hashed = (eight[first[:places]] * _MIX) & np.uint64(0xFFFFFFFF00000000) | np.arange(places, dtype="u8")
-    return memoryview(plain), first, *_turns((_least(hashed, windows, width) & np.uint64(0xFFFFFFFF)).astype("i8"))
+    plain = [_plain(t) for t in texts]
+    found = [None] * len(texts)
+    for group in _groups([len(t) if t.count(b" ") + 1 >= words else 0 for t in plain], 1):
+        together = b" ".join([plain[k] for k in group])
+        first = np.concatenate(([0], np.flatnonzero(np.frombuffer(together, "u1") == 32) + 1, [len(together) + 1]))
+        starts = np.cumsum([0, *(len(plain[k]) + 1 for k in group)])
+        bounds = np.searchsorted(first, starts)
+        hashed = np.ndarray((len(together),), "<u8", together + bytes(8), strides=(1,))[first[:-1]] * _MIX
+        for n, (k, one) in enumerate(zip(group, _found(hashed, bounds, words, words - prefix + 1), strict=True)):
+            found[k] = memoryview(plain[k]), first[bounds[n] : bounds[n + 1] + 1] - starts[n], one
+    return found
 
 
 def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREFIX, id_col: str = "doc_id", text_col: str = "text", map_bits: int = MAP_BITS) -> DataFrame:
@@ -340,32 +427,33 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
     member of each class of stretches.
     """
 
-    def prefixes(ident, text):
-        found = word_windows(text, words, prefix)
-        if found is not None:
-            view, first, at, _, _ = found
-            yield (list(set(_ranks(view, first[at], first[at + prefix] - 1).tolist())),)
+    def every(idents, texts):
+        return word_windows(texts, words, prefix)
 
-    may_repeat = written(_repeated(_scan(docs, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
+    def ranked(k, one):
+        view, first, (at, _, _) = one
+        return _ranks(view, first[at], first[at + prefix] - 1)
+
+    def prefixes(ident, text, found):
+        yield (list(set(ranked(0, found).tolist())),)
+
+    may_repeat = written(_repeated(_scan(docs, every, prefixes, _longs("rank"), id_col, text_col), "rank"), "ranks")
     may = Sieve.of(may_repeat, "rank", map_bits)
 
-    def stretches(ident, text):
-        found = word_windows(text, words, prefix)
-        if found is None:
-            return
-        view, first, at, low, high = found
-        rank = _ranks(view, first[at], first[at + prefix] - 1)
-        go = np.flatnonzero(_may(may, rank))
+    def repeating(idents, texts):
+        return _open(may, word_windows(texts, words, prefix), ranked)
+
+    def stretches(ident, text, found):
+        (view, first, (at, low, high)), rank, go = found
         at, low, high = at[go], low[go], high[go]
         places = (x.tolist() for x in (first[low], first[high + words] - 1, (at - low) << 20 | high - low, at, rank[go]))
         once = {}  # a stretch once a document
         for a, b, shape, anchor, r in zip(*places, strict=True):
             once.setdefault(_pair(view[a:b], shape), (anchor, r))
-        if once:
-            key, of = _doc_key(ident, text), [c for c, _ in once.values()]
-            yield [key] * len(of), of, [r for _, r in once.values()], [p[0] for p in once], [p[1] for p in once], _mark(key, of).tolist()
+        key, of = _doc_key(ident, text), [c for c, _ in once.values()]
+        yield [key] * len(of), of, [r for _, r in once.values()], [p[0] for p in once], [p[1] for p in once], _mark(key, of).tolist()
 
-    second = _scan(docs, stretches, _DOC + _longs("at", "rank", "left", "right", "mark"), id_col, text_col)
+    second = _scan(docs, repeating, stretches, _DOC + _longs("at", "rank", "left", "right", "mark"), id_col, text_col)
     second = written(second.join(may_repeat, "rank", "left_semi") if may is None else second, "stretches")
     same = written(_repeated(second, "left", "right"), "repeated")
     marked = written(second.join(same, ["left", "right"], "left_semi").select("_doc").distinct(), "marked")
@@ -374,14 +462,9 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
     marks = Sieve.of(opened, "mark", map_bits)
     owners = Sieve.of(written(opened.select(F.xxhash64("_doc").alias("number")).distinct(), "owners"), "number", map_bits)
 
-    def windows(ident, text, *chosen):
+    def windows(ident, text, found, *chosen):
         key = _doc_key(ident, text)
-        if not chosen and not _may(owners, [_number(key)])[0]:
-            return
-        found = word_windows(text, words, prefix)
-        if found is None:
-            return
-        view, first, at, low, high = found
+        view, first, (at, low, high) = found
         go = np.flatnonzero(np.isin(at, chosen[0])) if chosen else np.flatnonzero(_may(marks, _mark(key, at)))
         if len(go):
             own = np.concatenate([np.arange(low[k], high[k] + 1) for k in go.tolist()])
@@ -391,9 +474,9 @@ def shared_passages(docs: DataFrame, words: int = WORDS, prefix: int = WORD_PREF
     shape = _DOC + _longs("left", "right")
     if marks is None:
         of_doc = opened.groupBy("_doc").agg(F.collect_set("at").alias("_at"))  # one document's anchors
-        third = _scan(_keyed(docs, id_col, text_col).join(of_doc, "_doc"), windows, shape, "_id", "_text", ("_at",))
+        third = _scan(_keyed(docs, id_col, text_col).join(of_doc, "_doc"), every, windows, shape, "_id", "_text", ("_at",))
     else:
-        third = _scan(docs, windows, shape, id_col, text_col)
+        third = _scan(docs, _of_owners(owners, lambda texts: word_windows(texts, words, prefix)), windows, shape, id_col, text_col)
     third = written(third, "windows")  # rows that share a key are copies, so marked already
     same = written(_repeated(third, "left", "right"), "repeated")
     return marked.unionByName(third.join(same, ["left", "right"], "left_semi").select("_doc")).distinct()
