@@ -47,6 +47,27 @@ def test_repeats_leave_whole(spark, rows, map_bits):
     assert any(len(k) < n for _, n, k in expected)
 
 
+def test_texts_taken_together(monkeypatch):
+    """Anchors do not depend on which texts are hashed together; those of words say where the words are."""
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abé", k=draw.randint(1, 3))) for _ in range(draw.randint(0, 400))) + draw.choice(["", "\n\n x\t", " "]) for _ in range(60)]
+    raw = [t.encode() for t in texts] + [b"", b"a" * 399, b"a" * 400, b" \n" * 300, b"a " * 51, b"a " * 50, b"q" * 70000]
+    together = suffix_dedup.anchors_of(raw), suffix_dedup.word_windows(raw, 51, 16)
+    for text, of_bytes, of_words in zip(raw, *together, strict=True):
+        assert [x.tolist() for x in of_bytes] == [x.tolist() for x in suffix_dedup.anchors(text)]
+        words = text.split()
+        assert (of_words is None) == (len(words) < 51)
+        if of_words is not None:
+            view, first, (at, low, high) = of_words
+            assert [bytes(view[a : b - 1]) for a, b in zip(first.tolist(), first.tolist()[1:])] == words
+            windows = [(k, a) for a, b, c in zip(at.tolist(), low.tolist(), high.tolist(), strict=True) for k in range(b, c + 1)]
+            assert [k for k, _ in windows] == list(range(len(words) - 50)) and all(k <= a <= k + 35 for k, a in windows)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 1)
+    for one, other in zip(together[1], suffix_dedup.word_windows(raw, 51, 16), strict=True):
+        assert (one is None) == (other is None)
+        assert one is None or [x.tolist() for x in one[2]] == [x.tolist() for x in other[2]]
+
+
 def sharing(texts, words=suffix_dedup.WORDS):
     """Whether each text holds ``words`` consecutive words of another one."""
     split = [(t or "").encode().split() for t in texts]
