@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontaminate, exact_dedup, html_extract, langid, lexical_search, packing, quality, simhash_dedup, suffix_dedup, token_count, toxicity
+from . import conversation_repair, decontaminate, exact_dedup, html_extract, langid, lexical_search, packing, quality, simhash_dedup, suffix_dedup, token_count, toxicity, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_vector_search": vector_search.op11_vector_search,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op11_vector_search": vector_search.ORACLE,
     "op12_lexical_search": lexical_search.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
