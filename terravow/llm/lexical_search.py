@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .shared import batches_of, table, text_bytes, written
+from .topk import Best
 
 BLOCK_BYTES = 32_000_000
 TILE_DOCS = 256
@@ -103,34 +104,11 @@ def exact_product(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return total
 
 
-class Best:
-    """The k best (score, id) of each item; equal scores by id, null last."""
-
-    def __init__(self, items: int, k: int) -> None:
-        self.k, self.found = k, [[] for _ in range(items)]
-        self.least = np.ones(items, "i8")  # a score below it cannot enter
-
-    def add(self, first: int, scores: np.ndarray, ids: list) -> None:
-        floor = self.least[first : first + len(scores)]
-        for row in np.flatnonzero(scores.max(axis=1, initial=0) >= floor):
-            own, at = scores[row], first + row
-            if len(own) > self.k:
-                floor_here = max(floor[row], np.partition(own, -self.k)[-self.k])
-            else:
-                floor_here = floor[row]
-            entering = np.flatnonzero(own >= floor_here)
-            found = self.found[at] + [(-int(own[j]), ids[j] is None, ids[j]) for j in entering]
-            found.sort(key=lambda x: (x[0], x[1], 0 if x[1] else x[2]))
-            self.found[at] = found[: self.k]
-            if len(found) >= self.k:
-                self.least[at] = -self.found[at][-1][0]
-
-
 def _scored(names: list, held: list[dict[int, int]], weight: np.ndarray, documents: int, words: int, k: int):
     """Tiles to the best documents of each item in this task: (item, item_id, doc, score)."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, kinds = Best(len(names), k), None
+        best, kinds = Best(np.ones(len(names)), k), None  # a score below 1 is no hit
         blocks = []
         for first in range(0, len(names), TILE_ITEMS):
             part = held[first : first + TILE_ITEMS]
@@ -155,7 +133,7 @@ def _scored(names: list, held: list[dict[int, int]], weight: np.ndarray, documen
                         continue
                     docs = np.zeros((len(sizes), len(columns)))
                     docs[owner[there], dense] = impact[there]
-                    best.add(first, exact_product(matrix[:, columns], docs), ids)
+                    best.add(np.arange(first, first + len(matrix)), exact_product(matrix[:, columns], docs), ids)
         rows = [(at, names[at], x[2], -x[0]) for at, found in enumerate(best.found) for x in found]
         if rows:
             item, name, doc, score = zip(*rows, strict=True)

@@ -19,16 +19,17 @@ class Best:
         """``least``: of each query, the score below which nothing can be among its k best."""
         self.k, self.found, self.least = k, [[] for _ in least], np.array(least, "f8")
 
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: list, more: list | None = None) -> None:
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: list) -> None:
         """``scores``: a row for each of ``queries``, a column for each of ``ids``; -inf where a pair takes no part."""
         if not scores.size:
             return
-        for row in np.flatnonzero((scores.max(axis=1) >= self.least[queries]) & (scores.max(axis=1) > -math.inf)):
+        most = scores.max(axis=1)
+        for row in np.flatnonzero((most >= self.least[queries]) & (most > -math.inf)):
             own, at = scores[row], queries[row]
             floor = self.least[at]
             if len(own) > self.k:
                 floor = max(floor, np.partition(own, -self.k)[-self.k])
-            found = self.found[at] + [(-int(own[j]), ids[j] is None, ids[j], j if more is None else more[j]) for j in np.flatnonzero((own >= floor) & (own > -math.inf))]
+            found = self.found[at] + [(-int(own[j]), ids[j] is None, ids[j]) for j in np.flatnonzero((own >= floor) & (own > -math.inf))]
             found.sort(key=lambda x: (x[0], x[1], 0 if x[1] else x[2]))
             self.found[at] = found[: self.k]
             if len(found) >= self.k:
