@@ -14,80 +14,6 @@ from ..plans.registry import query
 from ..sources import adapter as a
 from .relational import SIMILAR_SQL, close_hashes, audit_listing, count, similar_images
 
-GENESIS = "0" * 64
-
-# --- the ledger
-
-
-def link_text(previous):
-    """Canonical text of one signature and the hash before it."""
-    c = F.col
-    return s.canonical_json(corrected_level=s.json_text(c("corrected_level")), decided_at=s.json_text(F.date_format("decided_on", "yyyy-MM-dd")), decision=s.json_text(c("decision")), prev_hash=s.json_text(previous), reason=s.json_text(c("reason")), user_id=s.json_text(c("user_id")), verdict_id=s.json_number(c("verdict_id")))
-
-
-_q = lambda x: f"""coalesce('"' || {x} || '"', 'null')"""
-_LINK = lambda previous: """'{"corrected_level":' || """ + _q("corrected_level") + """ || ',"decided_at":"' || strftime(decided_on, '%Y-%m-%d') || '","decision":"' || decision || '","prev_hash":"' || """ + previous + """ || '","reason":' || """ + _q("reason") + """ || ',"user_id":"' || user_id || '","verdict_id":' || verdict_id || '}'"""
-
-
-def signatures(spark, d) -> DataFrame:
-    """One chain a book of a thousand ids: chains grow in number with the signatures, and none grows beyond its book."""
-    return a.adjudications(spark, d).withColumn("chain", F.floor(F.col("id") / 1000))
-
-
-def chained(rows: DataFrame) -> DataFrame:
-    """prev_hash and row_hash of every signature: an ordered fold over each chain.
-
-    A chain is sequential by nature, so one chain is one group, of at most a book's signatures; all chains are folded
-    at once. What crosses the shuffle is the decision-bearing columns alone.
-    """
-    entry = F.struct("id", "verdict_id", "user_id", "decision", "corrected_level", "reason", "decided_on")
-    kind = "struct<id:bigint,prev_hash:string,row_hash:string>"
-
-    def link(done, e):
-        previous = F.coalesce(F.element_at(done, -1)["row_hash"], F.lit(GENESIS))
-        text = s.canonical_json(corrected_level=s.json_text(e["corrected_level"]), decided_at=s.json_text(F.date_format(e["decided_on"], "yyyy-MM-dd")), decision=s.json_text(e["decision"]), prev_hash=s.json_text(previous), reason=s.json_text(e["reason"]), user_id=s.json_text(e["user_id"]), verdict_id=s.json_number(e["verdict_id"]))
-        return F.concat(done, F.array(F.struct(e["id"].alias("id"), previous.alias("prev_hash"), F.sha2(text, 256).alias("row_hash"))))
-
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("string").alias("prev_hash"), F.lit(GENESIS).alias("row_hash"))).cast(f"array<{kind}>")
-    folded = rows.groupBy("chain").agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, link).alias("_links"))
-    links = folded.select("chain", F.inline(F.slice("_links", 2, F.size("_links"))))
-    return rows.join(links, ["chain", "id"])
-
-
-_CHAIN_ROWS = "SELECT *, id // 1000 AS chain, row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS nth FROM fx_adjudications"
-CHAIN_SQL = "WITH RECURSIVE chain_rows AS (" + sql(_CHAIN_ROWS) + "), linked AS (SELECT chain, id, nth, '" + GENESIS + "' AS prev_hash, sha256(" + _LINK(f"'{GENESIS}'") + ") AS row_hash FROM chain_rows WHERE nth = 1 UNION ALL SELECT r.chain, r.id, r.nth, l.row_hash, sha256(" + _LINK("l.row_hash") + ") FROM chain_rows r JOIN linked l ON r.chain = l.chain AND r.nth = l.nth + 1) SELECT chain, id, prev_hash, row_hash FROM linked"
-
-
-@query("log_01", CHAIN_SQL)
-def append_links(spark, d) -> DataFrame:
-    return chained(signatures(spark, d)).select("chain", "id", "prev_hash", "row_hash")
-
-
-def verified(rows: DataFrame) -> DataFrame:
-    """The first break of each chain and its cause; no row for a sound one. Parallel: each row looks one row back.
-
-    On a valid prefix the stored hash is the recomputed one, so the comparison with the stored predecessor finds the
-    first break exactly; what follows it is not judged. Loss of the newest rows cannot be seen.
-    """
-    order = Window.partitionBy("chain").orderBy("id")
-    expected = F.coalesce(F.lag("row_hash").over(order), F.lit(GENESIS))
-    rows = rows.withColumn("_expected", expected)
-    cause = F.when(~F.coalesce("prev_hash", F.lit(GENESIS)).eqNullSafe(F.col("_expected")), "previous hash").when(F.sha2(link_text(F.coalesce("prev_hash", F.lit(GENESIS))), 256) != F.col("row_hash"), "content")
-    return rows.withColumn("cause", cause).where("cause IS NOT NULL").groupBy("chain").agg(F.min("id").alias("broken_at"), F.min_by("cause", "id").alias("cause"))
-
-
-def tampered(rows: DataFrame) -> DataFrame:
-    """Some decisions changed after the fact, and some links rewritten."""
-    odd = F.col("id") % 211 == 0
-    rows = rows.withColumn("decision", F.when(odd, "accept!").otherwise(F.col("decision")))
-    return rows.withColumn("prev_hash", F.when(F.col("id") % 307 == 0, F.sha2(F.col("id").cast("string"), 256)).otherwise(F.col("prev_hash")))
-
-
-@query("log_02", "SELECT chain, min(id) AS broken_at, arg_min(CASE WHEN id % 307 = 0 THEN 'previous hash' ELSE 'content' END, id) AS cause FROM (" + CHAIN_SQL + ") WHERE id % 211 = 0 OR id % 307 = 0 GROUP BY 1")
-def verify_chain(spark, d) -> DataFrame:
-    return verified(tampered(chained(signatures(spark, d))))
-
-
 @query("log_03", sql("SELECT id, CASE WHEN decision NOT IN ('accept', 'edit', 'reject') THEN 'unknown decision' WHEN decision <> 'accept' AND nullif(trim(reason), '') IS NULL THEN 'reason required' WHEN decision = 'edit' AND corrected_level IS NULL THEN 'level required' WHEN decision = 'accept' AND corrected_level IS NOT NULL THEN 'level refused' END AS refusal FROM fx_adjudications"))
 def append_rules(spark, d) -> DataFrame:
     c = F.col

@@ -8,7 +8,6 @@ from ..functions import vocabulary as v
 from ..plans.oracle import sql
 from ..plans.registry import query
 from ..sources import adapter as a
-from .log_queries import CHAIN_SQL, chained, signatures, tampered, verified
 from .relational import _COMBINED, _QUEUE, combinations, count, direction, measured, newest, provenance, queue, signed
 
 
@@ -75,13 +74,6 @@ def districts(spark, d):
     return rows.groupBy("district_lgd").agg(count().alias("n_claims"), F.count_distinct("type").alias("n_types"), F.min("lon").alias("west"), F.max("lat").alias("north"))
 
 
-@query("rm_10", "SELECT count(DISTINCT chain) AS n_chains, count(DISTINCT chain) FILTER (WHERE id % 211 = 0 OR id % 307 = 0) AS n_broken FROM (" + CHAIN_SQL + ")")
-def ledger_verification(spark, d):
-    rows = tampered(chained(signatures(spark, d)))
-    broken = verified(rows).agg(count().alias("n_broken"))  # one row
-    return rows.agg(F.count_distinct("chain").alias("n_chains")).join(F.broadcast(broken))
-
-
 @query("rm_11", sql("SELECT v.claim_id, v.level, v.label, v.action, (EXISTS (SELECT 1 FROM fx_adjudications a WHERE a.verdict_id = v.verdict_id)) AS adjudicated, CAST(v.n_available AS INT) AS n_available FROM fx_newest v WHERE v.district_lgd = '5'"))
 def evidence_pack(spark, d):
     rows = signed(newest(spark, d).where("district_lgd = '5'"), a.adjudications(spark, d))

@@ -156,15 +156,6 @@ def insert_missing(spark, d) -> DataFrame:
     return existing.unionByName(rows.join(existing, "intervention_id", "left_anti"))
 
 
-@query("snk_06", sql("SELECT chain, max(id) AS last_id, count(*) AS n FROM (SELECT id // 1000 AS chain, id FROM fx_adjudications) GROUP BY 1"))
-def ledger_append(spark, d) -> DataFrame:
-    """The tail of each chain after the append."""
-    from ..operators.log_queries import chained, signatures
-
-    rows = written(chained(signatures(spark, d)).select("chain", "id", "row_hash"), "ledger")
-    return rows.groupBy("chain").agg(F.max("id").alias("last_id"), count().alias("n"))
-
-
 @query("snk_07", sql("SELECT action, count(*) AS n, count(payload) AS n_redacted FROM fx_audit GROUP BY 1"))
 def audit_append(spark, d) -> DataFrame:
     from ..functions.queries import redacted
