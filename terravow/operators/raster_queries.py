@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.queries import REFLECTED, _nd, indices, reflected
 from ..functions.scalars import stored
+from ..functions.storage import written
 from ..plans.oracle import sql
 from ..plans.registry import query
 from ..sources import adapter as a
+from .quantiles import exact_quantiles
 
 FILL = 255
 EXCLUDED = 2 | 4 | 8 | 16  # cloud, beside cloud, cloud shadow, snow
@@ -64,8 +66,10 @@ def median_composite(spark, d):
 @query("agg_23", sql("SELECT row // 10 AS zone, min(ndvi) AS least, quantile_cont(ndvi, 0.5) AS median, max(ndvi) AS most, floor(avg(CAST(floor(ndvi * 1e6) AS BIGINT)) + 0.5e0) AS mean_ppm, count(ndvi) / CAST(count(*) AS DOUBLE) AS valid_fraction, count(ndvi) AS n_valid FROM composite GROUP BY 1", **_ALL))
 def zonal(spark, d):
     """Statistics of each zone; a zone without a valid pixel is kept."""
-    rows = composite(scenes(spark, d)).withColumn("zone", F.floor(F.col("row") / 10).cast("int"))
-    return rows.groupBy("zone").agg(F.min("ndvi").alias("least"), F.percentile("ndvi", F.lit(0.5)).alias("median"), F.max("ndvi").alias("most"), F.floor(F.avg(F.floor(F.col("ndvi") * 1e6)) + 0.5).cast("double").alias("mean_ppm"), (F.count("ndvi") / count().cast("double")).alias("valid_fraction"), F.count("ndvi").alias("n_valid"))
+    rows = written(composite(scenes(spark, d)).select(F.floor(F.col("row") / 10).cast("int").alias("zone"), "ndvi"), "zones")
+    medians = exact_quantiles(rows, ["zone"], "ndvi", {"median": 0.5}).select("zone", "median")
+    sums = rows.groupBy("zone").agg(F.min("ndvi").alias("least"), F.max("ndvi").alias("most"), F.floor(F.avg(F.floor(F.col("ndvi") * 1e6)) + 0.5).cast("double").alias("mean_ppm"), (F.count("ndvi") / count().cast("double")).alias("valid_fraction"), F.count("ndvi").alias("n_valid"))
+    return sums.join(medians, "zone", "left")
 
 
 @query("agg_24", sql("SELECT scene_id, count(ndvi) / CAST(count(*) AS DOUBLE) AS valid_fraction FROM scenes GROUP BY 1", **_ALL))

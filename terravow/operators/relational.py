@@ -15,6 +15,7 @@ from ..plans.oracle import sql
 from ..plans.registry import query
 from ..sources import adapter as a
 from .engine import label_for
+from .quantiles import exact_quantiles
 
 count = lambda: F.count(F.lit(1))
 
@@ -426,8 +427,8 @@ def weighted_mean_by_array(spark, d):
 
 @query("agg_18", sql("SELECT lulc_class, floor(quantile_cont(delta, 0.5) * 1e9 + 0.5e0) AS median_e9, floor(quantile_cont(delta, 0.1) * 1e9 + 0.5e0) AS p10_e9, floor(quantile_cont(delta, 0.9) * 1e9 + 0.5e0) AS p90_e9 FROM fx_candidates GROUP BY 1"))
 def exact_percentiles(spark, d):
-    at = lambda p: F.percentile("delta", F.lit(p))
-    return a.candidates(spark, d).groupBy("lulc_class").agg(*(F.floor(at(p) * 1e9 + 0.5).cast("double").alias(n) for p, n in ((0.5, "median_e9"), (0.1, "p10_e9"), (0.9, "p90_e9"))))
+    found = exact_quantiles(a.candidates(spark, d), ["lulc_class"], "delta", {"median_e9": 0.5, "p10_e9": 0.1, "p90_e9": 0.9})
+    return found.select("lulc_class", *(F.floor(F.col(n) * 1e9 + 0.5).cast("double").alias(n) for n in ("median_e9", "p10_e9", "p90_e9")))
 
 
 @query("agg_19", sql("SELECT lulc_class, count(*) FILTER (WHERE delta < 0.035e0) / CAST(count(*) AS DOUBLE) * 100 AS rank FROM fx_candidates GROUP BY 1"))
@@ -467,8 +468,11 @@ def level_distribution(spark, d):
 def indicator_panel(spark, d):
     """The rates of the indicator panel by district and year."""
     rows = newest(spark, d).join(a.claims(spark, d).select("claim_id", F.year("asserted_date").alias("year")), "claim_id")
-    rate = lambda c: F.count(F.when(c, 1)) / count().cast("double")
-    return rows.groupBy("district_lgd", "year").agg(count().alias("n"), rate(F.col("label") == "CORROBORATED").alias("corroboration_rate"), rate(F.col("level") == "N3_contradicted").alias("contradiction_rate"), rate(F.col("detectability_passed")).alias("assessability_rate"), F.percentile("coverage", F.lit(0.5)).alias("median_coverage"))
+    flags = {"corroboration_rate": F.col("label") == "CORROBORATED", "contradiction_rate": F.col("level") == "N3_contradicted", "assessability_rate": F.col("detectability_passed")}
+    rows = written(rows.select("district_lgd", "year", "coverage", *(c.alias(name) for name, c in flags.items())), "panel")
+    rates = rows.groupBy("district_lgd", "year").agg(count().alias("n"), *((F.count(F.when(F.col(name), 1)) / count().cast("double")).alias(name) for name in flags))
+    medians = exact_quantiles(rows, ["district_lgd", "year"], "coverage", {"median_coverage": 0.5}).select(F.col("district_lgd").alias("_d"), F.col("year").alias("_y"), "median_coverage")
+    return rates.join(medians, F.col("district_lgd").eqNullSafe(F.col("_d")) & F.col("year").eqNullSafe(F.col("_y")), "left").drop("_d", "_y")
 
 
 # --- windows
