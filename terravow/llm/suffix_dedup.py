@@ -512,7 +512,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     sharing = shared_passages(docs, words, id_col=id_col, text_col=text_col, map_bits=map_bits)
     span = F.struct("start", "stop").alias("_span")
     both = spans.select("_doc", span, F.lit(False).alias("_shares")).unionByName(sharing.select("_doc", F.lit(None).alias("_span"), F.lit(True).alias("_shares")))
-    of_doc = written(both.groupBy("_doc").agg(F.collect_list("_span").alias("_found"), F.bool_or("_shares").alias("_shares")), "spans")  # one document's spans
+    of_doc = written(both.groupBy("_doc").agg(F.collect_set("_span").alias("_found"), F.bool_or("_shares").alias("_shares")), "spans")  # one document's spans, once however often it is repeated
     cut = Sieve.of(of_doc.select(F.xxhash64("_doc").alias("number")), "number", map_bits)
     kind = docs.schema[id_col].dataType.simpleString()
     removed = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
