@@ -262,7 +262,7 @@ def accumulate(cells: DataFrame, rounds: int | None = None) -> DataFrame:
     from ..functions.storage import written
 
     step = lambda k: F.coalesce(*(F.when(F.col("pointer") == p, F.lit(s[k])) for p, s in D8.items()))
-    key = lambda r, c: r.cast("long") * 1_000_000 + c
+    key = lambda r, c: F.shiftleft(r.cast("long"), 31) + c + (1 << 30)
     now = written(cells.select(key(F.col("row"), F.col("col")).alias("cell"), key(F.col("row") + step(0), F.col("col") + step(1)).alias("down"), F.lit(1).cast("long").alias("flow")), "flow")
     exists = now.select(F.col("cell").alias("down"))
     now = now.join(exists.withColumn("_in", F.lit(True)), "down", "left").select("cell", F.when(F.col("_in"), F.col("down")).alias("down"), "flow")
@@ -277,11 +277,4 @@ def accumulate(cells: DataFrame, rounds: int | None = None) -> DataFrame:
         done += 1
         if done > 40:
             raise ValueError("the pointers run in a circle")
-    return now.select(F.floor(F.col("cell") / 1_000_000).cast("int").alias("row"), (F.col("cell") % 1_000_000).cast("int").alias("col"), "flow")
-
-
-@query("rst_06")
-def hydrology(spark, d):
-    """Flow accumulation over a tilted grid whose pointers cannot run in circles."""
-    rows = a.pixels(spark, d).groupBy("row", "col").agg(F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.min("green") % 3 + 1).cast("int")).alias("pointer"))
-    return accumulate(rows)
+    return now.select(F.shiftright("cell", 31).cast("int").alias("row"), (F.col("cell").bitwiseAND(F.lit((1 << 31) - 1)) - (1 << 30)).cast("int").alias("col"), "flow")
