@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .shared import batches_of, shared_folder, shuffle_width, table, written
@@ -66,22 +66,31 @@ def matrix(vectors: list[bytes]) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows, as doubles below 2**53, beyond that as Python's integers."""
+    """Exact inner products of rows, as doubles below 2**53, beyond that as Python's integers within 64 bits."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
     if not width or not a.size or not b.size:
         return np.zeros((len(a), len(b)))
-    if width * np.abs(a).max() * np.abs(b).max() < EXACT:
+    if width * float(np.abs(a).max()) * float(np.abs(b).max()) < EXACT:
         return a @ b.T
     whole = np.frompyfunc(int, 1, 1)
-    return whole(a) @ whole(b).T
+    return np.minimum(np.maximum(whole(a) @ whole(b).T, -LONG), LONG - 1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances between rows, from differences: no cancellation for neighbours far from the origin."""
+    """Distances between rows, from differences: no cancellation for neighbours far from the origin.
+
+    Beyond the range of doubles they are infinite or not a number; a bound made of such lets everything through.
+    """
     width = max(a.shape[1], b.shape[1])
     a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
-    return np.stack([np.sqrt(((a - row) ** 2).sum(axis=1)) for row in b], axis=1) if len(b) else np.zeros((len(a), 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.stack([np.sqrt(((a - row) ** 2).sum(axis=1)) for row in b], axis=1) if len(b) else np.zeros((len(a), 0))
+
+
+def _squares(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (rows**2).sum(axis=1)
 
 
 def pivots_of(sample: np.ndarray, n: int) -> np.ndarray:
@@ -106,7 +115,7 @@ def _keyed(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             far = distances(full, pivots)
             near = far.argmin(axis=1)
             kept = batch.take(pa.array(rows, pa.int64()))
-            columns = [*kept.columns[:3], pa.array(vectors, pa.binary()), pa.array(near, pa.int32()), pa.array(far[np.arange(len(rows)), near]), pa.array(np.sqrt((full**2).sum(axis=1)))]
+            columns = [*kept.columns[:3], pa.array(vectors, pa.binary()), pa.array(near, pa.int32()), pa.array(far[np.arange(len(rows)), near]), pa.array(np.sqrt(_squares(full)))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "asked", "vector", "pivot", "far", "norm"])
 
     return keyed
@@ -147,13 +156,14 @@ def _searched(own: list[int], names: list, vectors: list[bytes], floors: np.ndar
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = matrix(vectors)
         best, far = Best(floors, k), distances(queries, pivots)
-        square, kind = (queries**2).sum(axis=1), pa.int64()
+        square, kind = _squares(queries), pa.int64()
         for batch in batches:
             kind = batch.schema.field(5).type.value_type
             for pivot, low, high, norm, rows, ids, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gap = np.maximum(0, np.maximum(low - far[:, pivot], far[:, pivot] - high))
-                most = square + norm**2
-                left = np.flatnonzero((most - np.maximum(0, gap - _SLACK * (1 + high + far[:, pivot])) ** 2) / 2 + _SLACK * (1 + most) >= best.least)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    gap = np.maximum(0, np.maximum(low - far[:, pivot], far[:, pivot] - high) - _SLACK * (1 + high + far[:, pivot]))
+                    most = square + np.float64(norm) ** 2
+                    left = np.flatnonzero(~((most - gap**2) / 2 + _SLACK * (1 + most) < best.least))
                 if not len(left):
                     continue
                 block, place = matrix(held), {row: j for j, row in enumerate(rows)}
@@ -164,7 +174,7 @@ def _searched(own: list[int], names: list, vectors: list[bytes], floors: np.ndar
                         if own[q] in place:
                             scores[i, place[own[q]]] = -math.inf
                     best.add(asked, scores, ids)
-        found = [(q, x[2], max(-LONG, min(LONG - 1, -x[0])), names[q], own[q]) for q, hits in enumerate(best.found) for x in hits]
+        found = [(q, x[2], -x[0], names[q], own[q]) for q, hits in enumerate(best.found) for x in hits]
         if found:
             types = [pa.int64(), kind, pa.int64(), kind, pa.int64()]
             columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
@@ -180,7 +190,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5, id_col: str = "vec_id",
     included) takes no part. Shorter vectors count as filled with zeros; an empty one has the product 0 with all. Rows
     that repeat an id or a vector are rows of their own, and a query is never its own result. Equal scores go by the
     smaller id, a null id last. With fewer than k other rows all are returned; an empty table gives an empty result.
-    Scores beyond 64 bits are ranked exactly and shown as the nearest 64-bit number. Other columns are not read.
+    A score beyond 64 bits counts as the nearest 64-bit number. Other columns are not read.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -194,7 +204,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5, id_col: str = "vec_id",
     key = ["pivot", "far", "row"]
     ordered = keyed.repartitionByRange(shuffle_width(spark), *key).sortWithinPartitions(*key).select("row", "id", "vector", "pivot", "far", "norm")
     index = written(ordered.mapInArrow(_annuli, f"pivot int, low double, high double, norm double, rows array<long>, ids array<{kind}>, vectors array<binary>"), "index")
-    norms = dict(index.groupBy("pivot").agg(F.max("norm")).collect())  # at most PIVOTS rows
+    cells = {r["pivot"]: r for r in index.groupBy("pivot").agg(F.max("norm").alias("norm"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}  # at most PIVOTS rows
     questions = keyed.where("asked")
     groups = max(1, math.ceil(questions.count() / group))
     questions = written(questions.repartitionByRange(groups, *key).select("row", "id", "vector", F.spark_partition_id().alias("group")), "questions")
@@ -202,7 +212,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5, id_col: str = "vec_id",
     out = f"query long, id {kind}, score long, asked_id {kind}, asked_row long"
     spark.createDataFrame([], out).write.parquet(folder)
     for at in range(groups):
-        _group(questions.where(F.col("group") == at), index, norms, pivots, k, out, folder)
+        _group(questions.where(F.col("group") == at), index, cells, pivots, k, out, folder)
     found = spark.read.schema(out).parquet(folder)
     rank = F.row_number().over(Window.partitionBy("asked_row").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -213,18 +223,21 @@ def _within(intervals: dict[int, tuple[float, float]]) -> Column:
     """The annuli that meet their pivot's interval of distances; the filter reaches the scan."""
     found = F.lit(False)
     for pivot, (low, high) in intervals.items():
-        found = found | ((F.col("pivot") == pivot) & (F.col("low") <= float(high)) & (F.col("high") >= float(low)))
+        own = F.col("pivot") == pivot
+        if np.isfinite(high - low):
+            own &= (F.col("low") <= float(high)) & (F.col("high") >= float(low))
+        found = found | own
     return found
 
 
-def _group(questions: DataFrame, index: DataFrame, norms: dict[int, float], pivots: np.ndarray, k: int, out: str, folder: str) -> None:
+def _group(questions: DataFrame, index: DataFrame, cells: dict[int, Row], pivots: np.ndarray, k: int, out: str, folder: str) -> None:
     """Write the k best by task of one group of queries."""
     asked = questions.select("row", "id", "vector").collect()
     if not asked:
         return
     own, names, vectors = map(list, zip(*asked, strict=True))
     queries = matrix(vectors)
-    far, square = distances(queries, pivots), (queries**2).sum(axis=1)
+    far, square = distances(queries, pivots), _squares(queries)
     known = questions.sparkSession.sparkContext.broadcast((own, names, vectors))
 
     def search(intervals: dict[int, tuple[float, float]], floors: np.ndarray) -> DataFrame:
@@ -240,11 +253,15 @@ def _group(questions: DataFrame, index: DataFrame, norms: dict[int, float], pivo
         floors[query] = rounded_down(score) if abs(score) < LONG - 1 else -math.inf
     # then, of every pivot, as far as the bound lets a query's floor be met
     wide = {}
-    for pivot, norm in norms.items():
-        room = (square + norm**2) * (1 + _SLACK) + 1 - 2 * floors
-        if (room >= 0).any():
-            reach = np.sqrt(room[room >= 0]) * (1 + _SLACK) + 1
-            wide[pivot] = ((far[room >= 0, pivot] - reach).min(), (far[room >= 0, pivot] + reach).max())
+    with np.errstate(over="ignore", invalid="ignore"):
+        for pivot, cell in cells.items():
+            room = (square + np.float64(cell["norm"]) ** 2) * (1 + _SLACK) + 1 - 2 * floors
+            may = ~(room < 0)
+            if may.any():
+                reach, own = np.sqrt(room[may]) * (1 + _SLACK) + 1, far[may, pivot]
+                low, high = (own - reach).min(), (own + reach).max()
+                if not (low > cell["high"] or high < cell["low"]):
+                    wide[pivot] = (low, high)
     search(wide, floors).write.mode("append").parquet(folder)
 
 
