@@ -18,15 +18,16 @@ from terravow.llm.shared import table, written
 def _only(docs: DataFrame, keep: DataFrame, key: Column) -> DataFrame:
     """One row of ``docs`` for each row of ``keep``: (_keep, _key), an id and what tells apart the rows that repeat it.
 
-    Rows that agree in both are one document. Only where there are such rows does a window choose one of them.
+    Rows that agree in both are one document. Only where there are such rows does a window choose one of them. The rows
+    of ``docs`` travel as one column, so their names meet none of these.
     """
     keep = written(keep.groupBy("_keep", "_key").agg(F.count(F.lit(1)).alias("_many")), "keep")
-    of = docs.select("*", key.alias("_own"))
-    found = of.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_key")))
-    if keep.where("_many > 1").isEmpty():
-        return found.select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("text"))
-    return found.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    of = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_id"), docs["text"].alias("_text"), key.alias("_own"))
+    found = of.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_key")))
+    if not keep.where("_many > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_text"))
+        found = found.withColumn("_nth", first).where("_nth = 1")
+    return found.select("_row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
