@@ -6,6 +6,7 @@ import re
 import corpus_pipeline
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from terravow.llm import quality
 from terravow.llm.shared import table, written
 
@@ -103,3 +104,30 @@ def test_empty_tables(spark, small):
         out = stage(spark, nothing, small)
         assert out.count() == 0
         assert name == "packing" or out.columns == nothing.columns
+
+
+def test_names_that_clash(spark, small):
+    """Columns of the caller's with the names that the stages use for themselves."""
+    extra = ["_keep", "_key", "_own", "_many", "_nth", "_first", "_row", "_id", "_text", "root", "fingerprint", "text_key", "kept", "text_sha256", "component_id", "label"]
+    docs = table(spark, small, "documents").limit(120)
+    odd = docs
+    for k, name in enumerate(extra):
+        odd = odd.withColumn(name, F.lit(k))
+    odd, docs = written(odd, "odd"), written(docs, "docs")
+    for name, stage in corpus_pipeline.STAGES:
+        plain, other = stage(spark, docs, small), stage(spark, odd, small)
+        if name == "packing":
+            assert other.count() == plain.count()
+        else:
+            docs, odd = written(plain, name), written(other, name)
+            assert rows_of(odd) == rows_of(docs) and odd.columns == [*docs.columns, *extra]
+            assert [r[len(docs.columns) :] for r in odd.limit(3).collect()] == [tuple(range(len(extra)))] * min(3, odd.count())
+
+
+def test_very_long_and_odd_texts(spark, small):
+    rows = [(1, "word " * 300_000), (2, "word " * 300_000), (3, None), (4, ""), (5, "x" * 1_000_000), (None, "word " * 300_000)]
+    docs = written(made(spark, rows), "docs")
+    docs = written(corpus_pipeline.exact_stage(spark, docs, small), "exact")
+    assert [i for i, _ in rows_of(docs)] == [1, 3, 5]
+    near = rows_of(corpus_pipeline.near_stage(spark, docs, small))
+    assert len(near) == len(groups_of(rows_of(docs))) and set(near) <= set(rows_of(docs))
