@@ -284,11 +284,15 @@ def hydrology(cells: DataFrame, threshold: int, tile: int = TILE) -> DataFrame:
     return now.join(orders, ["row", "col"], "left").withColumn("order", F.coalesce("order", F.lit(0)))
 
 
+def terrain_side(spark, d) -> int:
+    """About eight lines a cell: the grid grows with the table."""
+    return max(2, int((a.read(spark, d, "lineitem").count() / 8) ** 0.5))
+
+
 def terrain(spark, d) -> DataFrame:
-    """A height grid that grows with the table: about eight lines a cell, a tilt, and what the lines add to it."""
-    lines = a.read(spark, d, "lineitem")
-    side = max(2, int((lines.count() / 8) ** 0.5))
-    rows = lines.select((F.col("l_orderkey") % side).alias("row"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % side).alias("col"), "l_partkey")
+    """A height grid in metres from the table's lines: a tilt, and what the lines add to it."""
+    side = terrain_side(spark, d)
+    rows = a.read(spark, d, "lineitem").select((F.col("l_orderkey") % side).alias("row"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % side).alias("col"), "l_partkey")
     rough = rows.groupBy("row", "col").agg(F.min(F.col("l_partkey") % 199).alias("_rough"))
     return rough.select("row", "col", (F.col("_rough") / 10 + (F.col("row") + F.col("col")) * 0.25).alias("height"))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -12,8 +13,44 @@ from ..functions.queries import BUNDLE_SQL, bundle_text, redacted
 from ..plans.oracle import sql
 from ..plans.registry import query
 from ..sources import adapter as a
+from . import engine
+from .engine_queries import STRICTER
 from .relational import SIMILAR_SQL, close_hashes, audit_listing, count, similar_images
 
+# --- lineage
+
+#: A bundle's keys with their types, and what the first format called them.
+WIRE = {"config_digest": "string", "type": "string", "detectability_passed": "boolean", "data_sufficiency": "double", "metadata_integrity": "double"}
+FIRST_NAMES = {"data_sufficiency": "sufficiency", "metadata_integrity": "integrity", "config_digest": "config"}
+
+
+def digest(config: engine.Config) -> str:
+    return hashlib.sha256(config.text().encode()).hexdigest()
+
+
+def wire(config: engine.Config, form: int = 2) -> Column:
+    """A bundle as JSON in one of the formats, with the digest of the configuration it was judged under."""
+    name = lambda key: FIRST_NAMES.get(key, key) if form == 1 else key
+    held = {"config_digest": F.lit(digest(config))}
+    return F.to_json(F.struct(*([F.lit(form).alias("form")] if form > 1 else []), *(held.get(key, F.col(key)).alias(name(key)) for key in WIRE)))
+
+
+def read_back(rows: DataFrame, config: engine.Config = engine.DEFAULT) -> DataFrame:
+    """Adds the keys of ``wire``, ``missing`` (the names of absent ones), and ``state``.
+
+    A wire without ``form`` is of the first format, whose keys had other names; keys that later formats add are passed
+    over. A bundle lacking a key is incomplete, one of another configuration has drifted, and neither is used. What is
+    no JSON lacks every key.
+    """
+    shape = ", ".join(["form int", *(f"{n} {t}" for n, t in WIRE.items()), *(f"{old} {WIRE[n]}" for n, old in FIRST_NAMES.items())])
+    rows = rows.withColumn("_wire", F.from_json("wire", shape))
+    at = lambda key: F.when(F.col("_wire.form").isNull() & F.lit(key in FIRST_NAMES), F.col(f"_wire.{FIRST_NAMES.get(key, key)}")).otherwise(F.col(f"_wire.{key}"))
+    rows = rows.select("*", *(at(key).alias(key) for key in WIRE)).drop("_wire")
+    missing = F.concat_ws(",", *(F.when(F.col(key).isNull(), key) for key in WIRE))
+    state = F.when(missing != "", "incomplete").when(F.col("config_digest") != digest(config), "config drift").otherwise("sound")
+    return rows.withColumn("missing", missing).withColumn("state", state)
+
+
 @query("log_03", sql("SELECT id, CASE WHEN decision NOT IN ('accept', 'edit', 'reject') THEN 'unknown decision' WHEN decision <> 'accept' AND nullif(trim(reason), '') IS NULL THEN 'reason required' WHEN decision = 'edit' AND corrected_level IS NULL THEN 'level required' WHEN decision = 'accept' AND corrected_level IS NOT NULL THEN 'level refused' END AS refusal FROM fx_adjudications"))
 def append_rules(spark, d) -> DataFrame:
     c = F.col
@@ -31,16 +68,15 @@ def verdict_rows(spark, d) -> DataFrame:
     return a.verdicts(spark, d).select("verdict_id", "claim_id", "version", "level", s.stored(F.col("score")).alias("score"), F.sha2(bundle_text(), 256).alias("bundle_digest"))
 
 
-@query("log_06", sql("SELECT claim_id, version, CASE WHEN claim_id % 10 = 3 THEN 'incomplete' WHEN claim_id % 10 = 7 THEN 'config drift' ELSE 'sound' END AS state FROM fx_inputs"))
+@query("log_06", sql("SELECT claim_id, version, CASE WHEN claim_id % 10 = 3 THEN 'type' WHEN claim_id % 10 = 4 THEN 'config_digest' ELSE '' END AS missing, CASE WHEN claim_id % 10 IN (3, 4) THEN 'incomplete' WHEN claim_id % 10 = 7 THEN 'config drift' ELSE 'sound' END AS state FROM fx_inputs"))
 def from_lineage(spark, d) -> DataFrame:
-    """Inputs read back from their wire JSON: a missing key or another configuration is refused, in a column."""
+    """Bundles out of wires as they were written over time: by now's configuration and by a stricter one, in the first
+    format with its old names, some with a key missing."""
     rows = a.verdict_inputs(spark, d)
-    kept = F.when(F.col("claim_id") % 10 != 3, F.col("type"))
-    config = F.when(F.col("claim_id") % 10 == 7, "older").otherwise("v1")
-    wire = F.to_json(F.struct(kept.alias("type"), config.alias("config"), "data_sufficiency"))
-    parsed = F.from_json(wire, "type string, config string, data_sufficiency double")
-    state = F.when(parsed["type"].isNull() | parsed["data_sufficiency"].isNull(), "incomplete").when(parsed["config"] != "v1", "config drift").otherwise("sound")
-    return rows.select("claim_id", "version", state.alias("state"))
+    kind = F.col("claim_id") % 10
+    made = F.when(kind == 7, wire(STRICTER)).when(kind == 5, wire(engine.DEFAULT, 1)).otherwise(wire(engine.DEFAULT))
+    cut = F.when(kind == 3, F.regexp_replace(made, '"type":"[^"]*",', "")).when(kind == 4, F.regexp_replace(made, '"config_digest":"[^"]*",', "")).otherwise(made)
+    return read_back(rows.select("claim_id", "version", cut.alias("wire"))).select("claim_id", "version", "missing", "state")
 
 
 @query("log_07", sql("SELECT claim_id, version, CASE WHEN claim_id % 13 = 0 AND level <> 'N1_inconclusive' THEN 'level' ELSE '' END AS differs FROM fx_verdicts"))

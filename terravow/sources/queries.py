@@ -26,6 +26,30 @@ def json_lines(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).json(path)
 
 
+@query("src_02", sql("SELECT level, count(*) AS n, count(*) AS n_counted FROM fx_verdicts GROUP BY 1"))
+def transaction_scope(spark, d) -> DataFrame:
+    """Verdicts and their counts written by a stream, both tables in one transaction a batch. Every batch fails once
+    between the two tables and is run again; each row is there once, and the tables agree."""
+    from ..functions.commits import Store
+    from ..streaming.queries import as_stream, run_again
+
+    store = Store(spark, shared_path(spark, "store"))
+    failed: set[int] = set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        with store.transaction(number) as scope:
+            scope.write("verdicts", batch)
+            if number not in failed:
+                failed.add(number)
+                raise RuntimeError("failed between two tables")
+            scope.write("counts", batch.groupBy("level").agg(count().alias("n")))
+
+    run_again(as_stream(a.verdicts(spark, d).select("claim_id", "version", "level"), 2), write)
+    rows = store.read("verdicts", "claim_id long, version long, level string")
+    sums = store.read("counts", "level string, n long").groupBy("level").agg(F.sum("n").alias("n_counted"))
+    return rows.groupBy("level").agg(count().alias("n")).join(sums, "level")
+
+
 @query("src_03", sql("SELECT claim_id, index_name, season, year, value FROM fx_observations"))
 def json_artefact(spark, d) -> DataFrame:
     """Seasonal series documents, one object a line, exploded into observations."""
@@ -68,13 +92,24 @@ def tile_index(spark, d) -> DataFrame:
     return rows.groupBy(F.floor(F.col("row") / 8).cast("int").alias("tile_row"), F.floor(F.col("col") / 8).cast("int").alias("tile_col")).agg((count() * 12).alias("bytes"))
 
 
-@query("src_10", sql("SELECT count(*) / 16e2 AS coverage, count(*) / 16e2 >= 0.99e0 AS usable FROM (SELECT DISTINCT row, col FROM fx_pixels)"))
+_SIDE = "SELECT CAST(floor(sqrt(count(*) / 8e0)) AS BIGINT) AS side FROM lineitem"
+_HEIGHTS = "SELECT l_orderkey % side AS row, (l_partkey * 7 + l_suppkey) % side AS col, min(l_partkey % 199) * 10 + (any_value(l_orderkey % side) + any_value((l_partkey * 7 + l_suppkey) % side)) * 25 AS height FROM lineitem, extent GROUP BY 1, 2"
+_SURFACE = "SELECT row, col, arg_min(height, tile) AS height FROM (SELECT 0 AS tile, row, col, height FROM heights, extent WHERE row <= side // 2 + 2 UNION ALL SELECT 1, row, col, height + 30 FROM heights, extent WHERE row >= side // 2 - 2) GROUP BY ALL"
+_WANTED = "SELECT r, c, r * 4 + 2 AS y, c * 4 + 2 AS x FROM extent, unnest(generate_series(0, ((side - 1) * 5 - 2) // 4)) AS t(r), unnest(generate_series(0, ((side - 1) * 5 - 2) // 4)) AS u(c)"
+_LAID = "SELECT r, c, CAST(sum(weight * height) AS BIGINT) / CAST(CAST(sum(weight) AS BIGINT) AS DOUBLE) AS height FROM (SELECT r, c, y // 5 + i AS row, x // 5 + j AS col, (CASE WHEN i = 1 THEN y % 5 ELSE 5 - y % 5 END) * (CASE WHEN j = 1 THEN x % 5 ELSE 5 - x % 5 END) AS weight FROM wanted, (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j)) JOIN surface USING (row, col) WHERE weight > 0 GROUP BY r, c"
+
+
+@query("src_10", sql("SELECT r, c, height, coverage, coverage >= 0.99e0 AS usable FROM laid, (SELECT (SELECT count(*) FROM laid) / CAST((SELECT count(*) FROM wanted) AS DOUBLE) AS coverage)", extent=_SIDE, heights=_HEIGHTS, surface=_SURFACE, wanted=_WANTED, laid=_LAID))
 def elevation_mosaic(spark, d) -> DataFrame:
-    """Overlapping tiles as one surface; the share of places covered decides whether it may be used."""
-    rows = a.pixels(spark, d).select("row", "col", "nir")
-    north, south = rows.where("row < 25"), rows.where("row >= 15")
-    surface = north.unionByName(south).groupBy("row", "col").agg(F.avg("nir").alias("height"))
-    return surface.agg((count() / F.lit(1600.0)).alias("coverage")).withColumn("usable", F.col("coverage") >= 0.99)
+    """Two overlapping tiles, in centimetres, as one surface on a finer grid; the share covered decides whether it may be used."""
+    from ..operators.hydrology import terrain, terrain_side
+    from .mosaic import reprojected
+
+    side = terrain_side(spark, d)
+    heights = written(terrain(spark, d).select("row", "col", F.round(F.col("height") * 100).cast("long").alias("height")), "heights")
+    north = heights.where(F.col("row") <= side // 2 + 2).withColumn("tile", F.lit(0))
+    south = heights.where(F.col("row") >= side // 2 - 2).withColumn("tile", F.lit(1)).withColumn("height", F.col("height") + 30)
+    return reprojected(north.unionByName(south), side, side)
 
 
 _TILES = "SELECT DISTINCT CAST(floor(lat) AS BIGINT) AS lat, CAST(floor(lon) AS BIGINT) AS lon FROM fx_claims"

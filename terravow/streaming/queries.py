@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -42,6 +43,18 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], mode
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_again(stream: DataFrame, write: Callable[[DataFrame, int], None], attempts: int = 20) -> None:
+    """Like ``run_batches``, but a stream that fails is started again where it was, so that its batch is repeated."""
+    state = shared_path(stream.sparkSession, "state")
+    for attempt in range(attempts):
+        try:
+            stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+            return
+        except StreamingQueryException:
+            if attempt == attempts - 1:
+                raise
+
+
 def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of an updating aggregate: batches are appended with their number, the newest a key stands."""
     path = shared_path(stream.sparkSession, "updates")
