@@ -4,11 +4,14 @@ A page is read once into text blocks and the tree of elements around them; both
 classifier gives each node a cost for either label, its capacities to the two terminals: a block's comes from its own
 text (length, punctuation, share of links, kind of its element), an element's from its name, class and id words, for
 every block that it holds. Smoothness edges join a block or element to the nearest element around it that says
-something, neighbours in page order by their distance in the tree, and successive blocks under one parent. A block's own evidence is weaker than
-the edge to its element, so a paragraph among the comments or a bare line of the article gets its label by the cut.
-The minimum cut between the terminals is the labelling of least total cost; blocks on the content side are the text.
-Nodes whose terminal capacity outweighs all their edges are decided beforehand, which changes no minimum, and their
-edges then weigh on their neighbours; what is left goes through maximum flow.
+something, neighbours in page order by their distance in the tree, and successive blocks under one parent. No cost
+outweighs the edges of its node: neither a paragraph nor an element decides alone, and the label of either comes from
+the cut. The minimum cut between the terminals is the labelling of least total cost; blocks on its content side are the
+text. Only a node without enough edges to hold it is decided beforehand, which changes no minimum.
+
+A class word counts as the head or the first word of its name, and not where the name says otherwise (``with-sidebar``,
+``no-ads``). Words that are as common in the names of articles (``share``, ``notice``) are not believed of an element
+that holds nearly all of the page's prose.
 """
 
 from __future__ import annotations
@@ -42,11 +45,21 @@ AWAY = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent disqus disclaimer discussion feedback footer foot form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup privacy promo promoted promotion recommended related reply replies respond search share sharing sidebar side signup social sponsor sponsored subscribe subscription tags teaser toolbar trending widget complementary contentinfo alert aside rail skip".split()
 )
 HERE = frozenset("article articlebody body content entry main post story text prose maincontent".split())
+#: Of the former, words that name articles as well; words of a name that say of another one that it is not this element;
+#: and words that say nothing, so that the one before them is the head.
+WEAK = frozenset("alert banner discussion disclaimer feedback foot form header login menu notice notices notification privacy promo promotion related reply respond search share sharing side skip social tags teaser trending widget".split())
+OTHERWISE = frozenset("with without no not non has have is by open closed enabled disabled free layout price supported".split())
+NEUTRAL = frozenset("area bar block body box button buttons col column container content div group inner item items left list main outer panel right row section slot top bottom unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open paragraph outside of these is not closed from within.
 WALLS = BLOCKS - HEADINGS - {"p"}
-#: Weight of a block's own evidence, of the edges of the tree, and of the edges between blocks.
-OWN, HOLD, NEAR = 0.4, 2.0, 0.6
+#: Weight of a block's own evidence and of an element's, for each of its blocks.
+OWN, LEAN = 0.4, 0.35
+#: Capacity of the edge between a block and its element, between elements, and between blocks. The first is above all
+#: that one block can add to an element, so that no element is decided but with its blocks.
+HOLD, WITHIN, NEAR = 3.0, 0.5, 0.6
+#: An element with a weak name holds the article if what prose is elsewhere is less than this share of its own.
+ELSEWHERE = 0.25
 
 
 @dataclass
@@ -61,31 +74,67 @@ class _Open:
     name: str
     ident: int
     lean: float  # log-odds of what it holds being content
+    weak: float  # the part of it that rests on weak names
     within: bool  # in an article or main element
 
 
-def _lean(name: str, attributes: str, within: bool) -> float:
-    """What an element adds to the log-odds of the blocks below it."""
+def _away(value: str) -> tuple[bool, bool]:
+    """Whether a name out of a class, id or role tells of what is not the article, and whether only by weak words."""
+    found = strong = False
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if words and not OTHERWISE.intersection(words):
+            head = next((w for w in reversed(words) if w not in NEUTRAL), words[-1])
+            told = {head, words[0]} & AWAY
+            found, strong = found or bool(told), strong or bool(told - WEAK)
+    return found, found and not strong
+
+
+def _lean(name: str, attributes: str, within: bool) -> tuple[float, float]:
+    """What an element adds to the log-odds of the blocks below it, and what part of that is by weak names."""
     lean = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -7.0, "menu": -7.0, "dialog": -7.0, "search": -7.0, "fieldset": -3.0, "article": 4.0, "main": 3.0, "head": -20.0}.get(name, 0.0)
+    weak = 0.0
     if name == "header" and not within:
         lean -= 7.0
     if attributes:
+        told = doubted = here = False
         for match in _ATTRIBUTE.finditer(attributes):
             value = match[2] or match[3] or match[4] or ""
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & AWAY and name not in ("body", "html", "article", "main"):
-                lean -= 7.0
-            elif words & HERE:
-                lean += 1.5
+            away, only_weak = _away(value)
+            if away and name not in ("body", "html", "article", "main"):
+                told, doubted = told or not only_weak, doubted or only_weak
+            elif {w.lower() for w in _WORDS.findall(value)} & HERE:
+                here = True
+        if told or doubted:
+            lean -= 7.0
+            weak = 0.0 if told else -7.0
+        if here:
+            lean += 1.5
         if _HIDDEN.search(attributes):
             lean -= 12.0
-    return lean
+    return lean, weak
+
+
+def _believed(blocks: list[Block], leans: dict[int, float], weak: dict[int, float]) -> dict[int, float]:
+    """The leans without those by weak names of elements that hold nearly all prose that nothing else speaks against."""
+    if not any(weak.values()):
+        return leans
+    firm = {e: x - weak.get(e, 0.0) for e, x in leans.items()}
+    prose: defaultdict[int, int] = defaultdict(int)
+    everything = 0
+    for block in blocks:
+        if block.score > 0 and all(firm[e] >= 0 for e in block.chain):
+            everything += len(block.text)
+            for e in block.chain:
+                prose[e] += len(block.text)
+    return {e: firm[e] if weak.get(e) and everything - prose[e] < ELSEWHERE * prose[e] else x for e, x in leans.items()}
 
 
 def blocks_of(page: str) -> tuple[list[Block], dict[int, float]]:
     """Text blocks of a page in page order, and the log-odds of the elements in their chains."""
     found: list[Block] = []
     leans: dict[int, float] = {}
+    weak: dict[int, float] = {}
     stack: list[_Open] = []
     places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name on the stack
     parts: list[str] = []
@@ -97,6 +146,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, float]]:
         if text:
             chain = [e for e in stack if e.lean or e.name in BLOCKS]
             leans.update((e.ident, e.lean) for e in chain)
+            weak.update((e.ident, e.weak) for e in chain if e.weak)
             found.append(Block(text, tuple(e.ident for e in chain), _score(text, min(1.0, linked / len(text)), stack)))
         parts.clear()
         linked = 0
@@ -162,9 +212,9 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, float]]:
         made += 1
         places[name].append(len(stack))
         within = bool(stack and stack[-1].within)
-        stack.append(_Open(name, made, _lean(name, attributes, within), within or name in ("article", "main")))
+        stack.append(_Open(name, made, *_lean(name, attributes, within), within or name in ("article", "main")))
     flush()
-    return found, leans
+    return found, _believed(found, leans, weak)
 
 
 def _score(text: str, link_share: float, stack: list[_Open]) -> float:
@@ -190,8 +240,8 @@ def graph_of(blocks: list[Block], leans: dict[int, float]) -> tuple[list[float],
             if at == len(unary):
                 unary.append(0.0)
                 if above >= 0:
-                    edges[above, at] = HOLD
-            unary[at] += leans[ident]
+                    edges[above, at] = WITHIN
+            unary[at] += LEAN * max(-7.0, min(7.0, leans[ident]))
             above = at
         if above >= 0:
             edges[i, above] = HOLD
