@@ -9,6 +9,7 @@ from ..functions.storage import shared_path, written
 from ..plans.oracle import sql
 from ..plans.registry import query
 from . import adapter as a
+from .uploads import inspected
 
 count = lambda: F.count(F.lit(1))
 
@@ -126,24 +127,46 @@ def missing_tiles(spark, d) -> DataFrame:
     return needed.join(present, ["lat", "lon"], "left_anti").select(name.alias("tile"))
 
 
-# The first bytes of picture formats.
-MAGIC = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "webp": "52494646"}
+def planted_pictures(spark, d) -> DataFrame:
+    """A file for each document: pictures of three kinds with their dimensions and camera fields by the id, a sound file
+    that begins like one of them, a broken picture, and plain text; the document's text lies behind."""
+    k = F.col("doc_id")
+    number = lambda c, width: F.lpad(F.hex(c.cast("long")), 2 * width, "0")
+    fixed = lambda x: F.lit(x.replace(" ", ""))
+    wide, high = k % 4000 + 1, k % 3000 + 2
+    model = F.when(k % 7 == 0, "      ").otherwise(F.concat(F.lit("Cam"), F.lpad((k % 1000).cast("string"), 3, "0")))
+    taken = F.date_format(F.timestamp_seconds(1_700_000_000 + k * 1000), "yyyy:MM:dd HH:mm:ss")
+    place = lambda whole: F.concat(number(whole, 4), fixed("00000001"), number(k % 60, 4), fixed("00000001"), number(k % 6000, 4), fixed("00000064"))
+    tiff = F.concat(
+        fixed("4D4D002A 00000008 0003  0110 0002 00000008 00000032  0132 0002 00000014 0000003A  8825 0004 00000001 0000004E  00000000"),
+        F.hex(F.encode(model, "utf-8")), fixed("0000"), F.hex(F.encode(taken, "utf-8")), fixed("00"),
+        fixed("0004  0001 0002 00000002"), F.when(k % 2 == 0, "4E000000").otherwise("53000000"), fixed("0002 0005 00000003 00000084  0003 0002 00000002"), fixed("45000000"), fixed("0004 0005 00000003 0000009C  00000000"),
+        place(15 + k % 10), place(70 + k % 20),
+    )
+    jpeg = F.concat(fixed("FFD8 FFE1 00BC 457869660000"), tiff, fixed("FFC0 0011 08"), number(high, 2), number(wide, 2), fixed("03 012200 021101 031101 FFD9"))
+    png = F.concat(fixed("89504E470D0A1A0A 0000000D 49484452"), number(wide, 4), number(high, 4), fixed("0806000000"))
+    lossless = ((high - 1) * 16384 + wide - 1).cast("long")
+    webp = F.concat(fixed("52494646 00000000 57454250 5650384C 00000000 2F"), *(number(F.shiftright(lossless, 8 * i).bitwiseAND(F.lit(255)), 1) for i in range(4)))
+    sound = fixed("52494646 00000000 57415645 666D7420")
+    cut = F.substring(jpeg, 1, 100)
+    head = F.element_at(F.array(jpeg, png, webp, sound, cut, fixed("3C68746D6C3E")), (k % 6 + 1).cast("int"))
+    content = F.concat(F.unhex(head), F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return a.read(spark, d, "documents").select(k.cast("string").alias("name"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+
+
+@query("src_12", "SELECT CAST(doc_id AS VARCHAR) AS name, CASE doc_id % 6 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' WHEN 4 THEN 'jpeg' END AS kind, CASE WHEN doc_id % 6 < 3 THEN CAST(doc_id % 4000 + 1 AS INT) END AS width, CASE WHEN doc_id % 6 < 3 THEN CAST(doc_id % 3000 + 2 AS INT) END AS height, CASE WHEN doc_id % 6 IN (3, 5) THEN 'no picture' WHEN doc_id % 6 = 4 THEN 'no dimensions' END AS problem FROM documents")
+def sniffed(spark, d) -> DataFrame:
+    """Kind of an upload by its bytes, never by its name, and its dimensions; refusals with their reason."""
+    return inspected(planted_pictures(spark, d)).select("name", "kind", "width", "height", "problem")
 
 
-@query("src_12", "SELECT doc_id, ['jpeg', 'png', 'webp', 'refused'][doc_id % 4 + 1] AS kind FROM documents")
-def sniffed(spark, d) -> DataFrame:
-    """Kind of an upload by its first bytes, never by its name; planted heads stand before the texts."""
-    heads = F.array(*(F.unhex(F.lit(h)) for h in MAGIC.values()), F.encode(F.lit("<html>"), "utf-8"))
-    body = F.concat(F.element_at(heads, (F.col("doc_id") % 4 + 1).cast("int")), F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    kind = F.coalesce(*(F.when(F.startswith(F.hex("_body"), F.lit(h)), k) for k, h in MAGIC.items()), F.lit("refused"))
-    return a.read(spark, d, "documents").withColumn("_body", body).select("doc_id", kind.alias("kind"))
+_DMS = lambda whole: f"{whole} + (doc_id % 60) / 60e0 + (doc_id % 6000) / 1e2 / 36e2"
 
 
-@query("src_13")
+@query("src_13", f"SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 <> 0 THEN 'Cam' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') END AS model, strftime(make_timestamp((1700000000 + doc_id * 1000) * 1000000), '%Y-%m-%d %H:%M:%S') AS taken, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END * ({_DMS('(15 + doc_id % 10)')}) AS lat, {_DMS('(70 + doc_id % 20)')} AS lon FROM documents WHERE doc_id % 6 = 0")
 def camera_fields(spark, d) -> DataFrame:
-    """Position, time and device out of camera fields held as a map; blanks are missing."""
-    rows = a.read(spark, d, "events").select("event_id", F.create_map(F.lit("Model"), F.when(F.col("event_id") % 3 != 0, F.lit(" Cam X ")).otherwise(F.lit(" ")), F.lit("DateTime"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("exif"))
-    return rows.select("event_id", F.nullif(F.trim(F.element_at("exif", "Model")), F.lit("")).alias("model"), F.try_to_timestamp(F.element_at("exif", "DateTime"), F.lit("yyyy:MM:dd HH:mm:ss")).alias("taken"))
+    """Device, time and place out of the picture directory of every sound JPEG; blanks are missing."""
+    return inspected(planted_pictures(spark, d)).where("kind = 'jpeg' AND problem IS NULL").select("name", "model", "taken", "lat", "lon")
 
 
 # --- sinks
