@@ -80,10 +80,11 @@ def joined_text(spark, d):
     return a.verdicts(spark, d).select("claim_id", "version", F.concat_ws("; ", "agreeing", "disagreeing", "scene_scale").alias("joined"))
 
 
-@query("str_10")
+@query("str_10", sql("SELECT claim_id, version, printf('%+.4f', floor(score * 1e4 + 0.5e0) / 1e4) AS signed, printf('%.0f%%', floor(coverage * 100 + 0.5e0)) AS percent FROM fx_verdicts"))
 def formatted(spark, d):
-    """Signed, fixed and percent formats; engines round ties differently, so rows alone are compared."""
-    return a.verdicts(spark, d).select("claim_id", "version", F.format_string("%+.4f", "score").alias("signed"), F.format_string("%.0f%%", F.col("coverage") * 100).alias("percent"))
+    """Signed, fixed and percent formats, of numbers rounded half up beforehand: formatters round ties in their own ways."""
+    rounded = lambda x: F.floor(x + 0.5).cast("double")
+    return a.verdicts(spark, d).select("claim_id", "version", F.format_string("%+.4f", rounded(F.col("score") * 1e4) / 1e4).alias("signed"), F.format_string("%.0f%%", rounded(F.col("coverage") * 100)).alias("percent"))
 
 
 @query("str_11", "SELECT doc_id, nullif(trim(replace(substr(text, 1, 40), chr(10), ' ')), '') AS head FROM documents")
@@ -111,7 +112,7 @@ def vocabulary_lock(spark, d):
     return a.read(spark, d, "documents").select("doc_id", F.col("text").rlike(locked_pattern()).alias("refused"))
 
 
-@query("str_14")
+@query("str_14", "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
 def escaped(spark, d):
     """Text as it may stand in markup."""
     text = F.col("text")

@@ -51,7 +51,10 @@ def temporal_page(spark, d):
     return a.observations(spark, d).where("claim_id = 17").select("claim_id", "index_name", "season", "year", "value").orderBy("index_name", "season", "year")
 
 
-@query("rm_06")
+_FEATURE = """SELECT c.claim_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat || ']},"properties":{"claim_id":' || c.claim_id || CASE WHEN level IS NULL THEN '' ELSE ',"level":"' || level || '"' END || '}}' AS feature FROM fx_claims c LEFT JOIN fx_newest n USING (claim_id)"""
+
+
+@query("rm_06", sql(_FEATURE))
 def map_page(spark, d):
     """Position and newest level of each claim, as a feature collection's members."""
     rows = a.claims(spark, d).select("claim_id", "lon", "lat").join(newest(spark, d).select("claim_id", "level"), "claim_id", "left")
