@@ -51,7 +51,11 @@ def detectability(spark, d) -> DataFrame:
     """Whether a structure can be seen by itself, and if not, whether its neighbourhood can."""
     rows = planar(spark, d)
     works = a.interventions(spark, d).join(F.broadcast(v.works(spark)), "type")
-    rows = rows.join(neighbours_within(rows), "claim_id").join(works, "intervention_id")
+    return gated(rows.join(neighbours_within(rows), "claim_id").join(works, "intervention_id"))
+
+
+def gated(rows: DataFrame) -> DataFrame:
+    """The gate itself, over claims with their works' footprints and the number of their neighbours."""
     pixels = F.coalesce("expected_footprint_m2", (F.col("footprint_min") + F.col("footprint_max")) / 2.0) / v.PIXEL_AREA
     passed = F.col("optical") & (pixels >= v.MIN_PIXELS)
     return rows.select("claim_id", "members", pixels.alias("pixels"), passed.alias("passed"), (F.col("optical") & ~(pixels >= v.MIN_PIXELS) & (F.col("members") >= v.CLUSTER_MEMBERS)).alias("escalated"))
