@@ -485,11 +485,20 @@ def two_sided(z):
     return F.pandas_udf(tail, "double")(z)
 
 
-@query("mth_09")
+# the tail without a complementary error function: its complement as a series of positive terms, by logarithms
+_TAIL = (
+    "SELECT user_id, z, CASE WHEN z = 0 THEN 1e0 WHEN abs(z) > 12 THEN 0e0 ELSE 1e0 - 2e0 / sqrt(pi()) * exp(-z * z / 2) * "
+    "list_sum(list_transform(range(0, 800), lambda n: exp((2 * n + 1) * ln(abs(z) / sqrt(2e0)) - ln(2e0) - lgamma(n + 1.5e0) + ln(pi()) / 2))) END AS p FROM trended"
+)
+_TRENDED = "SELECT user_id, CASE WHEN var_s <= 0 THEN 0e0 WHEN s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 THEN (s + 1) / sqrt(var_s) ELSE 0e0 END AS z FROM mk"
+
+
+@query("mth_09", sql("SELECT user_id, floor(p * 1e9 + 0.5e0) / 1e9 AS p, CASE WHEN p <= 0.05e0 AND z > 0 THEN 'increasing' WHEN p <= 0.05e0 AND z < 0 THEN 'decreasing' ELSE 'no trend' END AS direction FROM tail", tail=_TAIL, trended=_TRENDED, mk=_MK, series=_SERIES))
 def p_values(spark, d) -> DataFrame:
-    """Trend directions at five percent."""
+    """Trend directions at five percent; the probability to nine places."""
     rows = trends(spark, d).withColumn("p", two_sided("z"))
-    return rows.select("user_id", "p", F.when((F.col("p") <= 0.05) & (F.col("z") > 0), "increasing").when((F.col("p") <= 0.05) & (F.col("z") < 0), "decreasing").otherwise("no trend").alias("direction"))
+    direction = F.when((F.col("p") <= 0.05) & (F.col("z") > 0), "increasing").when((F.col("p") <= 0.05) & (F.col("z") < 0), "decreasing").otherwise("no trend")
+    return rows.select("user_id", (F.floor(F.col("p") * 1e9 + 0.5) / 1e9).alias("p"), direction.alias("direction"))
 
 
 @query("prd_15", sql("SELECT x.user_id, quantile_cont((y.value - x.value) / (y.event_id - x.event_id), 0.5) AS slope FROM series x JOIN series y ON x.user_id = y.user_id AND x.event_id < y.event_id GROUP BY 1", series=_SERIES))
