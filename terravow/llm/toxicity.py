@@ -43,16 +43,19 @@ def beginnings(word: bytes) -> list[bytes]:
     return [word[:k] for k in LENGTHS if len(word) > k]
 
 
-def features(text: bytes, lexicon: dict[bytes, float], starts: dict[bytes, float]) -> np.ndarray:
-    """Dense features of a whole text; an empty one has zeros."""
+def firsts(starts: dict[bytes, float]) -> frozenset[bytes]:
+    """The first bytes of all beginnings: they decide quickly whether any beginning can be a word's own."""
+    return frozenset(s[:4] for s in starts)
+
+
+def features(text: bytes, lexicon: dict[bytes, float], starts: dict[bytes, float], first: frozenset[bytes]) -> np.ndarray:
+    """Dense features of a whole text; an empty one has zeros. ``first``: :func:`firsts` of ``starts``."""
     out = np.zeros(FEATURES)
     words = words_of(text)
     n = len(words)
     if not n:
         return out
     at_word = {i: lexicon[w] for i, w in enumerate(words) if w in lexicon}
-    # the first bytes of a word decide quickly whether any beginning in the lexicon can be its own
-    first = {s[:4] for s in starts}
     at_start = {}
     for i, w in enumerate(words):
         if w[:4] in first and (found := [starts[b] for b in beginnings(w) if b in starts]):
@@ -178,7 +181,8 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.values[0])
-        x = np.array([features(t, self.lexicon, self.starts) for t in texts]).reshape(-1, FEATURES)
+        first = firsts(self.starts)
+        x = np.array([features(t, self.lexicon, self.starts, first) for t in texts]).reshape(-1, FEATURES)
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
@@ -230,10 +234,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     # The lexicon comes from one part of the sample, the trees from this and a second, the calibration from the third.
     part = F.pmod(F.xxhash64("_id"), F.lit(10))
     lexicon, starts = learn_lexicon(sample.where(part < 5))
+    first = firsts(starts)
 
     def described(batches):
         for batch in batches_of(batches):
-            rows = np.array([features(t, lexicon, starts) for t in text_bytes(batch.column(2))]).reshape(-1, FEATURES)
+            rows = np.array([features(t, lexicon, starts, first) for t in text_bytes(batch.column(2))]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), FEATURES).cast(pa.list_(pa.float64()))], names=["part", "label", "x"])
 
     rows = sample.select(part.cast("int"), "_label", "_text").mapInArrow(described, "part int, label int, x array<double>").collect()  # at most 2 * per_class rows
