@@ -63,16 +63,23 @@ _INDEXES = ("NDVI", "MNDWI", "NDMI", "BSI", "ndvi_rabi", "water")
 _index_rows = "(SELECT unnest(['NDVI', 'MNDWI', 'NDMI', 'BSI', 'ndvi_rabi', 'water']) AS i)"
 
 
-@query("str_07", sql(f"SELECT t.type, i, CASE WHEN len([x FOR x IN rises IF x = i OR starts_with(x, i || '_')]) > 0 THEN 1 WHEN len([x FOR x IN falls IF x = i OR starts_with(x, i || '_')]) > 0 THEN -1 ELSE 0 END AS direction FROM fx_types t, {_index_rows}"))
+def _indexed(spark, d):
+    """Every work with each index and what is expected of its type."""
+    works = a.interventions(spark, d).select("intervention_id", "type").join(F.broadcast(v.works(spark).select("type", "rises", "falls")), "type")
+    return works.select("intervention_id", "rises", "falls", F.explode(F.array(*map(F.lit, _INDEXES))).alias("i"))
+
+
+_OF_WORKS = f"FROM fx_interventions JOIN fx_types t USING (type), {_index_rows}"
+
+
+@query("str_07", sql(f"SELECT intervention_id, i, CASE WHEN len([x FOR x IN t.rises IF x = i OR starts_with(x, i || '_')]) > 0 THEN 1 WHEN len([x FOR x IN t.falls IF x = i OR starts_with(x, i || '_')]) > 0 THEN -1 ELSE 0 END AS direction {_OF_WORKS}"))
 def prefix_match(spark, d):
-    rows = v.works(spark).select("type", "rises", "falls", F.explode(F.array(*map(F.lit, _INDEXES))).alias("i"))
-    return rows.select("type", "i", prefix_direction(F.col("i")).alias("direction"))
+    return _indexed(spark, d).select("intervention_id", "i", prefix_direction(F.col("i")).alias("direction"))
 
 
-@query("str_08", sql(f"SELECT t.type, i, CASE WHEN len([x FOR x IN rises IF upper(split_part(x, '_', 1)) = upper(split_part(i, '_', 1))]) > 0 THEN 1 WHEN len([x FOR x IN falls IF upper(split_part(x, '_', 1)) = upper(split_part(i, '_', 1))]) > 0 THEN -1 ELSE 0 END AS direction FROM fx_types t, {_index_rows}"))
+@query("str_08", sql(f"SELECT intervention_id, i, CASE WHEN len([x FOR x IN t.rises IF upper(split_part(x, '_', 1)) = upper(split_part(i, '_', 1))]) > 0 THEN 1 WHEN len([x FOR x IN t.falls IF upper(split_part(x, '_', 1)) = upper(split_part(i, '_', 1))]) > 0 THEN -1 ELSE 0 END AS direction {_OF_WORKS}"))
 def base_match(spark, d):
-    rows = v.works(spark).select("type", "rises", "falls", F.explode(F.array(*map(F.lit, _INDEXES))).alias("i"))
-    return rows.select("type", "i", base_direction(F.col("i")).alias("direction"))
+    return _indexed(spark, d).select("intervention_id", "i", base_direction(F.col("i")).alias("direction"))
 
 
 @query("str_09", sql("SELECT claim_id, version, concat_ws('; ', agreeing, disagreeing, scene_scale) AS joined FROM fx_tallies"))
@@ -372,9 +379,11 @@ def fingerprint() -> str:
     return "|".join(f"{k}={w:.6f}" for k, w in sorted(v.WEIGHTS.items()))
 
 
-@query("hsh_03", f"SELECT '{fingerprint()}' AS fingerprint, sha256('{fingerprint()}') AS digest")
+@query("hsh_03", sql(f"SELECT claim_id, sha256('{fingerprint()}|' || claim_id || '|' || version) AS digest FROM fx_newest_inputs"))
 def config_fingerprint(spark, d):
-    return spark.range(1).select(F.lit(fingerprint()).alias("fingerprint"), F.sha2(F.lit(fingerprint()), 256).alias("digest"))
+    """The configuration's fingerprint bound to what was judged under it: one digest for each claim's newest bundle."""
+    rows = a.verdict_inputs(spark, d, only_newest=True)
+    return rows.select("claim_id", F.sha2(F.concat_ws("|", F.lit(fingerprint()), F.col("claim_id").cast("string"), F.col("version").cast("string")), 256).alias("digest"))
 
 
 @query("hsh_04", sql("SELECT image_id, phash FROM fx_phash"))

@@ -160,15 +160,19 @@ def capabilities(spark) -> DataFrame:
     return spark.createDataFrame([(r, c) for r, cs in v.CAPABILITIES.items() for c in cs], "role string, capability string")
 
 
-@query("aut_01", sql("SELECT role, string_agg(capability, ',' ORDER BY capability) AS capabilities FROM caps GROUP BY 1", caps=_CAPS))
+@query("aut_01", sql("SELECT user_id, coalesce(string_agg(capability, ',' ORDER BY capability), '') AS capabilities FROM fx_users LEFT JOIN caps USING (role) GROUP BY 1", caps=_CAPS))
 def role_capabilities(spark, d) -> DataFrame:
-    return capabilities(spark).groupBy("role").agg(F.array_join(F.sort_array(F.collect_set("capability")), ",").alias("capabilities"))
+    """What each user may do, by the user's role."""
+    per = capabilities(spark).groupBy("role").agg(F.array_join(F.sort_array(F.collect_set("capability")), ",").alias("_c"))
+    return a.users(spark, d).join(F.broadcast(per), "role", "left").select("user_id", F.coalesce("_c", F.lit("")).alias("capabilities"))
 
 
-@query("aut_02", sql("SELECT role, bool_or(capability = 'claim_create') AND bool_or(capability = 'adjudication_create') AS both FROM caps GROUP BY 1", caps=_CAPS))
+@query("aut_02", sql("SELECT user_id, coalesce(bool_or(capability = 'claim_create') AND bool_or(capability = 'adjudication_create'), false) AS both FROM fx_users LEFT JOIN caps USING (role) GROUP BY 1", caps=_CAPS))
 def separation_of_duties(spark, d) -> DataFrame:
+    """Whether a user could both make a claim and decide on it."""
     has = lambda c: F.bool_or(F.col("capability") == c)
-    return capabilities(spark).groupBy("role").agg((has("claim_create") & has("adjudication_create")).alias("both"))
+    per = capabilities(spark).groupBy("role").agg((has("claim_create") & has("adjudication_create")).alias("_both"))
+    return a.users(spark, d).join(F.broadcast(per), "role", "left").select("user_id", F.coalesce("_both", F.lit(False)).alias("both"))
 
 
 @query("aut_03", sql("SELECT u.user_id, count(c.capability) = 0 AS lacks_verify FROM fx_users u LEFT JOIN caps c ON c.role = u.role AND c.capability = 'ledger_verify' GROUP BY 1", caps=_CAPS))

@@ -128,9 +128,10 @@ def plausibility(spark, d) -> DataFrame:
     return siting(samples(spark, d)).select("claim_id", "n_hard", "n_soft", "n_checks", "siting")
 
 
-@query("prd_03", sql("SELECT type, min_slope, max_slope FROM siting_rules", siting_rules=_RULES))
+@query("prd_03", sql("SELECT intervention_id, min_slope, max_slope FROM fx_interventions LEFT JOIN siting_rules USING (type)", siting_rules=_RULES))
 def slope_bands(spark, d) -> DataFrame:
-    return sitings(spark).select("type", "min_slope", "max_slope")
+    """The band of slopes for every work, in degrees whatever unit its type declares."""
+    return a.interventions(spark, d).join(F.broadcast(sitings(spark)), "type", "left").select("intervention_id", "min_slope", "max_slope")
 
 
 @query("prd_04", sql("SELECT claim_id, CASE siting WHEN 'implausible' THEN -1e0 WHEN 'marginal' THEN -0.4e0 WHEN 'plausible' THEN 1e0 ELSE 0e0 END AS agreement, siting <> 'unknown' AS available FROM sited", sited=_SITED, siting_rules=_RULES))

@@ -190,10 +190,12 @@ def stream_mask(spark, d):
     return a.pixels(spark, d).select("scene_id", "row", "col", F.when(F.col("swir1") >= 1000, 1).otherwise(0).alias("stream"))
 
 
-@query("rst_09", "SELECT r AS row, c AS col FROM (SELECT unnest(generate_series(0, 39, 12)) AS r) a, (SELECT unnest(generate_series(0, 39, 12)) AS c) b")
+@query("rst_09", sql("SELECT r AS row, c AS col FROM extent, unnest(generate_series(0, high, 12)) AS t(r), unnest(generate_series(0, wide, 12)) AS u(c)", extent="SELECT max(l_orderkey % 4001) AS high, max(l_partkey % 3001) AS wide FROM lineitem"))
 def candidate_grid(spark, d):
-    grid = F.sequence(F.lit(0), F.lit(39), F.lit(12))
-    return spark.range(1).select(F.explode(grid).alias("row")).select("row", F.explode(grid).alias("col")).select(F.col("row").cast("long"), F.col("col").cast("long"))
+    """Every twelfth cell over the extent of what the lines cover."""
+    extent = a.read(spark, d, "lineitem").agg(F.max(F.col("l_orderkey") % 4001).alias("high"), F.max(F.col("l_partkey") % 3001).alias("wide"))
+    grid = lambda high: F.explode(F.sequence(F.lit(0).cast("long"), F.col(high), F.lit(12).cast("long")))
+    return extent.select("wide", grid("high").alias("row")).select("row", grid("wide").alias("col"))
 
 
 @query("rst_10", "SELECT s_suppkey AS claim_id, k, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 10e0 + k END, floor(300e0 * cos(k * pi() / 4) * 1e3 + 0.5e0) / 1e3) AS x FROM supplier, (SELECT unnest(generate_series(0, 7)) AS k) t")

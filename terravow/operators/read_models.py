@@ -83,9 +83,12 @@ def evidence_pack(spark, d):
     return rows.select("claim_id", "level", "label", "action", "adjudicated", "n_available")
 
 
-@query("rm_12", sql("SELECT type, ceiling, optical, len(rises) AS n_rises, len(falls) AS n_falls, (footprint_min + footprint_max) / 2e0 AS typical FROM fx_types"))
+@query("rm_12", sql("SELECT t.type, any_value(ceiling) AS ceiling, any_value(optical) AS optical, any_value(len(rises)) AS n_rises, any_value(len(falls)) AS n_falls, any_value((footprint_min + footprint_max) / 2e0) AS typical, count(intervention_id) AS n_works FROM fx_types t LEFT JOIN fx_interventions i ON i.type = t.type GROUP BY 1"))
 def method(spark, d):
-    return v.works(spark).select("type", "ceiling", "optical", F.size("rises").cast("long").alias("n_rises"), F.size("falls").cast("long").alias("n_falls"), ((F.col("footprint_min") + F.col("footprint_max")) / 2.0).alias("typical"))
+    """The declared signatures, and how many works each is applied to."""
+    works = a.interventions(spark, d).groupBy("type").agg(count().alias("_n"))
+    rows = v.works(spark).join(works, "type", "left")
+    return rows.select("type", "ceiling", "optical", F.size("rises").cast("long").alias("n_rises"), F.size("falls").cast("long").alias("n_falls"), ((F.col("footprint_min") + F.col("footprint_max")) / 2.0).alias("typical"), F.coalesce("_n", F.lit(0)).alias("n_works"))
 
 
 @query("rm_13", sql("SELECT role, count(*) AS n, count(scope_district) AS n_scoped FROM fx_users GROUP BY 1"))

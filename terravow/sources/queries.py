@@ -64,10 +64,17 @@ def json_log(spark, d) -> DataFrame:
     return json_lines(a.audit(spark, d).select("id", "action"), "log")
 
 
-@query("src_05", "SELECT * FROM (VALUES ('01', 'L4', 1.0e0), ('04', 'L3', 0.85e0), ('23', 'L3', 0.7976e0)) AS t(case_id, expected, anchor)")
+@query("src_05", sql("SELECT claim_id, level AS expected, floor(score * 1e4 + 0.5e0) / 1e4 AS anchor FROM fx_newest"))
 def declared_cases(spark, d) -> DataFrame:
-    """Small declared inputs become a DataFrame with an explicit schema."""
-    return spark.createDataFrame([("01", "L4", 1.0), ("04", "L3", 0.85), ("23", "L3", 0.7976)], "case_id string, expected string, anchor double")
+    """Cases as flat YAML text, one a claim, written as files and read back under an explicit schema."""
+    rows = a.newest(a.verdicts(spark, d))
+    anchor = (F.floor(F.col("score") * 1e4 + 0.5).cast("double") / 1e4).cast("string")
+    case = F.concat(F.lit("# declared\ncase: "), F.col("claim_id").cast("string"), F.lit("\nexpected: "), F.col("level"), F.lit("\nanchor:  "), anchor, F.lit("\n"))
+    held = written(rows.select(case.alias("text")), "cases")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\w+:"))
+    pairs = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^\w+:", "")))))
+    held = held.select(pairs.alias("case"))
+    return held.select(F.col("case")["case"].cast("long").alias("claim_id"), F.col("case")["expected"].alias("expected"), F.col("case")["anchor"].cast("double").alias("anchor"))
 
 
 @query("src_06", sql("SELECT season, year, scene FROM (SELECT *, row_number() OVER (PARTITION BY season, year ORDER BY cloud, scene) AS nth FROM catalogue WHERE cloud < 20) WHERE nth <= 4", catalogue="SELECT l_suppkey AS scene, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN month(l_shipdate) BETWEEN 6 AND 10 THEN 'kharif' WHEN month(l_shipdate) BETWEEN 3 AND 5 THEN 'summer' ELSE 'rabi' END AS season, min(l_quantity) AS cloud FROM lineitem GROUP BY ALL"))
