@@ -142,7 +142,7 @@ def planted_pictures(spark, d) -> DataFrame:
     fixed = lambda x: F.lit(x.replace(" ", ""))
     wide, high = k % 4000 + 1, k % 3000 + 2
     model = F.when(k % 7 == 0, "      ").otherwise(F.concat(F.lit("Cam"), F.lpad((k % 1000).cast("string"), 3, "0")))
-    taken = F.date_format(F.timestamp_seconds(1_700_000_000 + k * 1000), "yyyy:MM:dd HH:mm:ss")
+    taken = F.date_format(F.expr("TIMESTAMP_NTZ'2023-11-14 22:13:20' + make_dt_interval(0, 0, 0, doc_id * 1000)"), "yyyy:MM:dd HH:mm:ss")
     place = lambda whole: F.concat(number(whole, 4), fixed("00000001"), number(k % 60, 4), fixed("00000001"), number(k % 6000, 4), fixed("00000064"))
     tiff = F.concat(
         fixed("4D4D002A 00000008 0003  0110 0002 00000008 00000032  0132 0002 00000014 0000003A  8825 0004 00000001 0000004E  00000000"),

@@ -17,7 +17,8 @@ def replayed(rows: DataFrame, arrived: Column, slice_seconds: int, last: DataFra
     a file source goes by the time of writing. ``last`` is written behind all of them.
     """
     spark = rows.sparkSession
-    held = written(rows.withColumn("_slice", F.floor(F.unix_timestamp(arrived) / slice_seconds)), "arrivals")
+    held = rows.withColumn("_slice", arrived.cast("timestamp_ntz"))  # by the clock, whatever the session's zone
+    held = written(held.withColumn("_slice", F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', _slice)") / slice_seconds)), "arrivals")
     path = shared_path(spark, "source")
     for (number,) in held.select("_slice").distinct().orderBy("_slice").collect():  # one row a slice of time
         held.where(F.col("_slice") == number).repartition(FILES).write.mode("append").parquet(path)
