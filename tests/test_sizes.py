@@ -32,3 +32,7 @@ def many_books(spark, tmp_path_factory):
 
 def test_verification_of_more_books_than_a_shelf_holds(spark, many_books):
     assert same_as_sql(spark, many_books, "log_02")
+
+
+def test_last_seal_of_more_books_than_a_shelf_holds(spark, many_books):
+    assert [r[0] for r in same_as_sql(spark, many_books, "rm_10")] == [2500]
