@@ -54,3 +54,10 @@ def test_many_claims_of_one_place(spark):
 
     rows = spark.range(200_000).select(F.col("id").alias("claim_id"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))  # all pairs would be 4 * 10^10
     assert neighbours_within(rows, 500.0).groupBy("members").count().collect() == [(200_000, 200_000)]
+
+
+def test_evidence_is_made_once_for_all_families(spark, small, capsys):
+    from terravow.sources import adapter
+
+    adapter.evidence(spark, small).explain()
+    assert capsys.readouterr().out.count("lineitem.parquet") == 1
