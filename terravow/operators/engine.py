@@ -33,29 +33,29 @@ def _count(conditions) -> Column:
 
 
 def aggregate(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """support, weight_total, score, coverage, quality, confidence."""
+    """support, weight_total, score, coverage, quality, confidence; the number of families that are available."""
     support = reduce(add, [F.when(_available(f) & (F.abs(_agreement(f)) >= config.epsilon), F.lit(config.weight[f]) * _agreement(f)).otherwise(0.0) for f in v.FAMILIES])
     total = reduce(add, [F.when(_available(f), F.lit(config.weight[f])).otherwise(0.0) for f in v.FAMILIES])
-    df = df.withColumns({"support": support, "weight_total": total})
+    available = F.size(F.filter(F.array(*map(_available, v.FAMILIES)), lambda x: x))
+    df = df.withColumns({"support": support, "weight_total": total, "n_available": available})
     df = df.withColumns({"score": F.col("support") / F.greatest("weight_total", F.lit(1e-9)), "coverage": F.col("weight_total") / F.lit(config.weight_sum), "quality": F.col("metadata_integrity") * F.col("data_sufficiency")})
     return df.withColumn("confidence", F.abs("score") * F.col("coverage") * F.col("quality"))
 
 
 def tally(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Counts of families that are available, agree, disagree; the first to agree; cluster evidence."""
+    """Counts of families that agree, disagree; the first to agree; cluster evidence."""
     agrees = {f: _available(f) & (_agreement(f) >= config.agreeing) for f in v.FAMILIES}
     differs = {f: _available(f) & (_agreement(f) <= config.disagreeing) for f in v.FAMILIES}
     cluster = {f: _available(f) & F.col(f"{f}_cluster") for f in v.FAMILIES}
     listed = lambda which: F.array_join(F.array_compact(F.array(*(F.when(which[f], f) for f in v.FAMILIES))), ",")
     return df.withColumns(
         {
-            "n_available": _count(_available(f) for f in v.FAMILIES),
             "n_agreeing": _count(agrees.values()),
             "n_disagreeing": _count(differs.values()),
             "n_independent_agreeing": _count(agrees[f] for f in v.INDEPENDENT),
             "n_independent_disagreeing": _count(differs[f] for f in v.INDEPENDENT),
             "n_cluster": _count(cluster.values()),
-            "cluster_agrees": reduce(or_, [cluster[f] & agrees[f] for f in v.FAMILIES]),
+            "cluster_agrees": F.exists(F.array(*(cluster[f] & agrees[f] for f in v.FAMILIES)), lambda x: x),
             "agreeing": listed(agrees),
             "disagreeing": listed(differs),
         }
@@ -119,11 +119,12 @@ def levels(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
         .otherwise("n1_default")
     )
     df = df.withColumn("branch", branch)
-    reached = F.when(F.col("branch") == "l4", 4).when(F.col("branch") == "l3", 3).when(F.col("branch") == "l2", 2).when(F.col("branch") == "l1", 1)
-    clamped = F.when(reached.isNotNull(), F.least(reached, F.col("ceiling")))
-    capped = (reached >= 3) & (clamped > 2) & F.col("terrain_available") & (F.col("terrain_agreement") <= config.categorical)
-    final = F.when(capped, 2).otherwise(clamped)
-    df = df.withColumns({"_reached": reached, "_clamped": clamped, "_capped": F.coalesce(capped, F.lit(False)), "_final": final})
+    reached = F.array_position(F.array(*map(F.lit, ("l1", "l2", "l3", "l4"))), F.col("branch")).cast("int")  # 0: another branch
+    df = df.withColumn("_reached", reached)
+    df = df.withColumn("_clamped", F.when(F.col("_reached") > 0, F.least("_reached", "ceiling")))
+    capped = (F.col("_reached") >= 3) & (F.col("_clamped") > 2) & F.col("terrain_available") & (F.col("terrain_agreement") <= config.categorical)
+    df = df.withColumn("_capped", F.coalesce(capped, F.lit(False)))
+    df = df.withColumn("_final", F.when(F.col("_capped"), 2).otherwise(F.col("_clamped")))
     names = F.array(*map(F.lit, v.POSITIVE))
     level = (
         F.when(F.col("_final").isNotNull(), F.get(names, F.col("_final")))

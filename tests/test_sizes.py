@@ -89,3 +89,26 @@ def test_files_of_a_stream_grow_in_number(spark):
         spark.conf.unset(size)
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
     assert sum(batches) == 400_000 and 2 <= len(batches) <= 4
+
+
+@pytest.mark.parametrize("name", ["eng_01", "eng_08", "eng_13", "eng_15", "log_05", "log_07", "rm_02"])
+def test_code_of_the_engine_is_compiled(spark, small, name):
+    """The JVM never compiles a method of more than 8,000 bytes of code; it then takes several times as long for a row."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = entry.queries()[name](spark, small)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_bundles_are_dealt_by_claim_alone(spark, small, capsys):
+    from terravow.sources import adapter
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        adapter.verdict_inputs(spark, small).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert plan.index("SortMergeJoin [claim_id") < plan.index("SortMergeJoin [intervention_id")
