@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from .shared import crc_part
 
 
-def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``per_class`` (id, label) rows of each of the classes 0 and 1, in the order of a hash of the id.
+def labelled_ids(labels: DataFrame, label: str, folds: int, held_out: int, id_col: str = "doc_id") -> DataFrame:
+    """All (id, label) rows of the classes 0 and 1.
 
     Rows of the held-out fold, without id or with another or no label are left out; an id labelled twice has its larger label.
     """
     fit = labels.where((crc_part(F.col(id_col), folds) != held_out) & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-    fit = fit.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    return fit.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("_label"))
+
+
+def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``per_class`` rows of ``labelled_ids`` of each of the classes 0 and 1, in the order of a hash of the id."""
+    fit = labelled_ids(labels, label, folds, held_out, id_col)
     order = [F.xxhash64(F.lit(label), F.col(id_col)), F.col(id_col)]
     return fit.where("_label = 1").orderBy(*order).limit(per_class).union(fit.where("_label = 0").orderBy(*order).limit(per_class))
 
