@@ -2,7 +2,8 @@
 
 Rows are wide: for each family its agreement, availability and whether it is of cluster scale, beside the gates, the
 two quality terms, the number of excluded alternatives and the type of work. No shuffle, no Python: the 18 types are a
-broadcast dimension and everything else is column arithmetic, so Catalyst keeps it in one code-generated stage.
+broadcast dimension and everything else is column arithmetic. Counts over arrays part the generated code: in one piece it
+would be a method of more than 8,000 bytes, which the JVM does not compile.
 An unavailable family counts neither for score nor for coverage; it is not a neutral one.
 """
 
